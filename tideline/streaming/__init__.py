@@ -1,0 +1,6 @@
+"""No streaming job lives here.
+
+The work this library covers is a daily batch: every run reads a whole panel, and the two
+update-like rules (a correction replaces its original, daily edges replace yesterday's) are
+expressed as keyed upserts and partition overwrites in ``operators.graph`` and ``sources``.
+"""
