@@ -2,9 +2,9 @@
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import horizontal, screening
+    from oracles import horizontal, relations, screening
     from oracles.base import compose
     out = {}
-    for module in (screening, horizontal):
+    for module in (screening, horizontal, relations):
         out.update({k: compose(v) for k, v in module.SQL.items()})
     return out

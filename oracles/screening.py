@@ -115,7 +115,7 @@ SQL = {
         SELECT s.factor, t.ticker, t.name AS proxy_name, t.kw_rank, t.ticker IS NULL AS rejected
         FROM factor_specs s LEFT JOIN (
             SELECT factor, c.ticker, name, list_position(
-                       list_transform(keywords, lambda k: contains(name, k)), true) - 1 AS kw_rank,
+                       list_transform(keywords, lambda k: contains(name, k)), true)::BIGINT - 1 AS kw_rank,
                    row_number() OVER (PARTITION BY factor ORDER BY list_position(
                        list_transform(keywords, lambda k: contains(name, k)), true), length(name),
                        c.ticker, name) AS rn

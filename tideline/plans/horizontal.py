@@ -12,29 +12,35 @@ from tideline.operators import market as M
 from tideline.operators import signals as sig
 from tideline.plans import inputs as I
 from tideline.plans.registry import query, rounded
+from tideline.plans.shared import kept
 from tideline.sources import panel as P
 
 # Supplier prices are noisier than listed prices, so weaker ties count in these demonstrations.
 CFG = S.HorizontalSettings(min_abs_corr=0.1, min_group_corr=0.3)
 
 
+@kept
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.with_daily_return(I.supplier_panel(spark, sf_dir)).select(
         "ticker", "dt_idx", "age", "n_days", "ret")
 
 
+@kept
 def cal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.calendar(I.supplier_cells(spark, sf_dir))
 
 
+@kept
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.market_return(returns(spark, sf_dir), I.supplier_caps(spark, sf_dir))
 
 
+@kept
 def market_win(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.market_window(cal(spark, sf_dir), market(spark, sf_dir), CFG.beta_window)
 
 
+@kept
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and regions as groups of suppliers."""
     m = I.supplier_master(spark, sf_dir)
@@ -43,21 +49,25 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.union_groups(nation, region, universe=m.where("market_cap is not null"))
 
 
+@kept
 def group_rets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.group_returns(returns(spark, sf_dir), groups(spark, sf_dir))
 
 
+@kept
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rets, mkt = returns(spark, sf_dir), market_win(spark, sf_dir)
     f = X.factor_returns(I.factor_cells(spark, sf_dir), cal(spark, sf_dir))
     return X.exposures(rets, f, mkt, X.market_betas(rets, mkt), CFG)
 
 
+@kept
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = X.factor_returns(I.factor_cells(spark, sf_dir), cal(spark, sf_dir))
     return X.factor_moves(f, market_win(spark, sf_dir))
 
 
+@kept
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rets, days = returns(spark, sf_dir), cal(spark, sf_dir)
     mkt = X.gap_market(rets, market(spark, sf_dir), days)

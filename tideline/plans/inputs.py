@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.plans.shared import kept
 from tideline.sources.panel import pad_code, price_panel
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -40,6 +41,7 @@ def _cells(rows: DataFrame, *keys: str) -> DataFrame:
                       "volume", (F.col("cents") / 100.0).alias("value"))
 
 
+@kept
 def supplier_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return _cells(li.select(supplier_ticker("l_suppkey").alias("ticker"),
@@ -57,10 +59,16 @@ def brand_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
                     cents("l_extendedprice").alias("cents"), F.col("l_quantity").alias("qty")))
 
 
-def brand_cells(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
+@kept
+def brand_week_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = brand_trades(spark, sf_dir)
-    return _cells(t.withColumn("base_date", F.trunc("day", period) if period != "day"
-                               else F.col("day")), "base_date", "ticker")
+    return _cells(t.withColumn("base_date", F.trunc("day", "week")), "base_date", "ticker")
+
+
+@kept
+def brand_day_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = brand_trades(spark, sf_dir)
+    return _cells(t.withColumn("base_date", F.col("day")), "base_date", "ticker")
 
 
 def supplier_panel(spark: SparkSession, sf_dir: str, n_days: int | None = None) -> DataFrame:
@@ -68,19 +76,21 @@ def supplier_panel(spark: SparkSession, sf_dir: str, n_days: int | None = None)
 
 
 def brand_week_panel(spark: SparkSession, sf_dir: str, n_days: int | None = None) -> DataFrame:
-    return price_panel(brand_cells(spark, sf_dir, "week"), n_days)
+    return price_panel(brand_week_cells(spark, sf_dir), n_days)
 
 
 def brand_day_panel(spark: SparkSession, sf_dir: str, n_days: int | None = None) -> DataFrame:
-    return price_panel(brand_cells(spark, sf_dir, "day"), n_days)
+    return price_panel(brand_day_cells(spark, sf_dir), n_days)
 
 
+@kept
 def supplier_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return (li.groupBy("l_suppkey").agg(F.sum(cents("l_extendedprice")).alias("market_cap"))
             .select(supplier_ticker("l_suppkey").alias("ticker"), "market_cap"))
 
 
+@kept
 def supplier_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, name, market (region), sector (nation), market_cap."""
     s = table(spark, sf_dir, "supplier")
@@ -92,6 +102,7 @@ def supplier_master(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(supplier_caps(spark, sf_dir), "ticker", "left"))
 
 
+@kept
 def brand_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = brand_trades(spark, sf_dir)
     return (t.groupBy("ticker").agg(F.sum("cents").alias("market_cap"))
@@ -119,6 +130,7 @@ def brand_members(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("p_type").alias("industry"), "ticker"))
 
 
+@kept
 def factor_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(base_date, factor, close): monthly unit price per part type."""
     t = brand_trades(spark, sf_dir)
@@ -127,6 +139,7 @@ def factor_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                   "base_date", "factor").select("base_date", "factor", "close")
 
 
+@kept
 def nation_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(supplier_nation, customer_nation, cents): who sells to whom, summed once per pair."""
     li = table(spark, sf_dir, "lineitem").select(

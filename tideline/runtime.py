@@ -24,19 +24,27 @@ def local_session(app_name: str = "tideline", cpus: str | None = None,
             .getOrCreate())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job in reliable shared storage.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that every executor can reach: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session,
-    where executors share the driver's disk, may fall back to a folder of its own.
+    Only a local session, whose tasks share the driver's disk, may fall back to a folder of its own.
     """
-    spark = df.sparkSession
+    named = spark.conf.get(CHECKPOINT_CONF, None)
+    if named:
+        return named.rstrip("/")
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if not context.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative job in reliable shared storage."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
