@@ -2,9 +2,9 @@
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import horizontal, leadlag, relations, screening
+    from oracles import horizontal, leadlag, relations, screening, texts
     from oracles.base import compose
     out = {}
-    for module in (screening, horizontal, relations, leadlag):
+    for module in (screening, horizontal, relations, leadlag, texts):
         out.update({k: compose(v) for k, v in module.SQL.items()})
     return out
