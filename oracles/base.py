@@ -14,10 +14,12 @@ def cte(name: str, body: str) -> None:
 def compose(body: str) -> str:
     """Prefix ``body`` with every CTE it mentions, dependencies first."""
     order: list[str] = []
+    open_: set[str] = set()
 
     def need(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"[a-z_0-9]+", text)):
-            if word in CTES and word not in order:
+            if word in CTES and word not in order and word not in open_:
+                open_.add(word)
                 need(CTES[word])
                 if word not in order:
                     order.append(word)
@@ -25,7 +27,7 @@ def compose(body: str) -> str:
     need(body)
     if not order:
         return body.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + body.strip()
 
 
 def r(expr: str, digits: int) -> str:

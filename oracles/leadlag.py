@@ -101,7 +101,7 @@ cte("band_lags", """
     WHERE x.xr IS NOT NULL AND y.yr IS NOT NULL GROUP BY 1, 2, 3""")
 cte("band_best", best("band_lags", 24))
 cte("cycles", """
-    SELECT a, b, overlap, lag, corr, n, NULL AS skipped FROM band_best JOIN band_overlap USING (a, b)
+    SELECT a, b, overlap, lag, corr, n, NULL::VARCHAR AS skipped FROM band_best JOIN band_overlap USING (a, b)
     UNION ALL SELECT a, b, overlap, NULL, NULL, NULL, '구성 중복' FROM band_overlap
     WHERE overlap >= 0.5 AND a IN (SELECT name FROM band_blocks) AND b IN (SELECT name FROM band_blocks)""")
 cte("cycles2", """
