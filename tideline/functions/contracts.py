@@ -23,18 +23,23 @@ def first_amount(col: Column) -> Column:
 
 def first_date(col: Column) -> Column:
     """First date as YYYYMMDD, '' when there is none."""
-    s = F.coalesce(col, F.lit(""))
-    part = lambda i: F.regexp_extract(s, "(?U)" + S.CONTRACT_DATE, i)
-    written = F.concat(part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
-    return F.when(part(1) != "", written).otherwise(F.regexp_extract(s, r"(?U)\b(\d{8})\b", 1))
+    pattern = "(?U)" + S.CONTRACT_DATE
+
+    def read(s: Column) -> Column:
+        written = bind(F.regexp_extract(s, pattern, 0), lambda m: F.when(m != "", F.concat(
+            F.regexp_extract(m, pattern, 1), F.lpad(F.regexp_extract(m, pattern, 2), 2, "0"),
+            F.lpad(F.regexp_extract(m, pattern, 3), 2, "0"))))
+        return F.coalesce(written, F.regexp_extract(s, r"(?U)\b(\d{8})\b", 1))
+
+    return bind(F.coalesce(col, F.lit("")), read)
 
 
 def sales_ratio(col: Column, cfg: S.ContractSettings = S.ContractSettings()) -> Column:
     """Share of sales: ``n%``, ``(%) n`` or a bare ``n``; implausible values are NULL."""
     forms = (r"(?U)([\d.]+)\s*%", r"(?U)\(\s*%\s*\)\s*([\d.]+)", r"(?U)([\d.]+)")
     hit = F.coalesce(*[F.nullif(F.regexp_extract(col, f, 1), F.lit("")) for f in forms])
-    pct = hit.try_cast("double")
-    return F.when((pct > 0) & (pct <= cfg.max_ratio_pct), F.round(pct / 100, 4))
+    return bind(hit.try_cast("double"), lambda pct: F.when(
+        (pct > 0) & (pct <= cfg.max_ratio_pct), F.round(pct / 100, 4)))
 
 
 def clean_value(col: Column) -> Column:
@@ -55,23 +60,28 @@ def plausible_name(col: Column) -> Column:
 
 def parse_contract(text: Column) -> Column:
     """STRUCT of typed contract fields; what cannot be read is NULL or ''."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t ]+", " ")
-    raw = {k: strip_ws(F.regexp_extract(flat, rf"(?sU){p}\s*[:：]?\s*(.{{0,200}})", 1))
-           for k, p in S.CONTRACT_FIELDS.items()}
-    party = clean_value(raw["counterparty"])
-    begin = first_date(raw["begin"])
-    end = first_date(raw["end"])
-    spans = F.regexp_extract_all(raw["period"], F.lit("(?U)" + S.CONTRACT_DATE), F.lit(0))
-    return F.struct(
-        bind(party, lambda p: F.when(plausible_name(p), p).otherwise(F.lit(""))).alias("counterparty"),
-        F.substring(clean_value(raw["product"]), 1, 80).alias("product"),
-        first_amount(raw["amount"]).alias("amount"),
-        first_amount(raw["recent_sales"]).alias("recent_sales"),
-        sales_ratio(raw["ratio"]).alias("sales_ratio"),
-        F.when(begin != "", begin).otherwise(first_date(raw["period"])).alias("begin"),
-        F.when(end != "", end).otherwise(
-            F.coalesce(first_date(F.get(spans, F.lit(1))), F.lit(""))).alias("end"),
-        F.substring(clean_value(raw["region"]), 1, 40).alias("region"))
+    def raw_fields(flat: Column) -> Column:
+        return F.struct(*[strip_ws(F.regexp_extract(flat, rf"(?sU){p}\s*[:：]?\s*(.{{0,200}})", 1)).alias(k)
+                          for k, p in S.CONTRACT_FIELDS.items()])
+
+    def or_else(first: Column, other: Column) -> Column:
+        return bind(first, lambda d: F.when(d != "", d).otherwise(other))
+
+    def typed(raw: Column) -> Column:
+        spans = F.regexp_extract_all(raw["period"], F.lit("(?U)" + S.CONTRACT_DATE), F.lit(0))
+        return F.struct(
+            bind(clean_value(raw["counterparty"]), lambda p: F.when(plausible_name(p), p).otherwise(
+                F.lit(""))).alias("counterparty"),
+            F.substring(clean_value(raw["product"]), 1, 80).alias("product"),
+            first_amount(raw["amount"]).alias("amount"),
+            first_amount(raw["recent_sales"]).alias("recent_sales"),
+            sales_ratio(raw["ratio"]).alias("sales_ratio"),
+            or_else(first_date(raw["begin"]), first_date(raw["period"])).alias("begin"),
+            or_else(first_date(raw["end"]), F.coalesce(first_date(F.get(spans, F.lit(1))), F.lit(""))).alias("end"),
+            F.substring(clean_value(raw["region"]), 1, 40).alias("region"))
+
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t\u00a0]+", " ")
+    return bind(bind(flat, raw_fields), typed)
 
 
 def is_contract_filing(report_name: Column) -> Column:

@@ -11,6 +11,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline import settings as S
 
@@ -22,7 +23,7 @@ def strip_ws(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)\A\s+|\s+\z", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_references(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 

@@ -14,15 +14,12 @@ from tideline import settings as S
 from tideline.functions.numbers import ratio
 from tideline.operators.order_stats import with_pct_rank
 
-_CLOSE, _VOLUME, _VALUE, _AGE = (F.col(c) for c in ("close", "volume", "value", "age"))
-
-
 def with_daily_return(panel: DataFrame) -> DataFrame:
     """close / previous calendar day's close - 1; NULL when either day is missing."""
     w = Window.partitionBy("ticker").orderBy("dt_idx")
     prev_close, prev_idx = F.lag("close").over(w), F.lag("dt_idx").over(w)
     return panel.withColumn(
-        "ret", F.when(prev_idx == F.col("dt_idx") - 1, ratio(_CLOSE, prev_close) - 1.0))
+        "ret", F.when(prev_idx == F.col("dt_idx") - 1, ratio(F.col("close"), prev_close) - 1.0))
 
 
 def with_moving_averages(panel: DataFrame, lengths: tuple[int, ...] = (20, 60)) -> DataFrame:
@@ -37,15 +34,15 @@ def with_moving_averages(panel: DataFrame, lengths: tuple[int, ...] = (20, 60))
 
 
 def _at(age: int) -> Column:
-    return F.max(F.when(_AGE == age, _CLOSE))
+    return F.max(F.when(F.col("age") == age, F.col("close")))
 
 
-def _mean(col: Column, newest: int, oldest: int) -> Column:
-    return F.avg(F.when(_AGE.between(newest, oldest), col))
+def _mean(col: str, newest: int, oldest: int) -> Column:
+    return F.avg(F.when(F.col("age").between(newest, oldest), F.col(col)))
 
 
 def _full_mean(age: int, length: int) -> Column:
-    inside = F.when(_AGE.between(age, age + length - 1), _CLOSE)
+    inside = F.when(F.col("age").between(age, age + length - 1), F.col("close"))
     return F.when(F.count(inside) == length, F.avg(inside))
 
 
@@ -63,9 +60,9 @@ def compute_signals(panel: DataFrame, cfg: S.ScreenSettings | None = None) -> Da
         _full_mean(gc, 20).alias("ma20_then"), _full_mean(gc, 60).alias("ma60_then"),
         _full_mean(10, 60).alias("ma60_10"), _full_mean(30, 60).alias("ma60_30"),
         _full_mean(40, 60).alias("ma60_40"),
-        _mean(_VOLUME, 0, 4).alias("vol_recent"), _mean(_VOLUME, 5, 24).alias("vol_base"),
-        F.max(F.when(_AGE <= 119, _CLOSE)).alias("high120"),
-        _mean(_VALUE, 0, 19).alias("avg_turnover"))
+        _mean("volume", 0, 4).alias("vol_recent"), _mean("volume", 5, 24).alias("vol_base"),
+        F.max(F.when(F.col("age") <= 119, F.col("close"))).alias("high120"),
+        _mean("value", 0, 19).alias("avg_turnover"))
     above_now = F.coalesce(F.col("ma20") > F.col("ma60"), F.lit(False))
     above_then = F.coalesce(F.col("ma20_then") > F.col("ma60_then"), F.lit(False))
     turning = ((F.col("ma60") - F.col("ma60_10") > 0)

@@ -23,6 +23,7 @@ from tideline.plans import inputs as I
 from tideline.plans import relations as Q
 from tideline.plans.registry import query, rounded
 from tideline.plans.shared import kept
+from tideline.runtime import spread
 from tideline.sources import records as J
 
 HORIZON = 5
@@ -76,7 +77,8 @@ def _idea(status, priority):
 @kept
 def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, run, payload, content): a synthesis per order, and the case file that holds it."""
-    o, c, n = (I.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    o = spread(I.table(spark, sf_dir, "orders"), "o_orderkey")
+    c, n = I.table(spark, sf_dir, "customer"), I.table(spark, sf_dir, "nation")
     s = I.supplier_master(spark, sf_dir).select(F.col("ticker").alias("s_ticker"), F.col("name").alias("s_name"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(
         s, supplier_name(F.col("o_custkey") / 10) == F.col("s_name"), "left")

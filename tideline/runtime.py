@@ -48,3 +48,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Use every core for costly per-row work on a table that arrives in few splits.
+
+    A table with at least as many splits as the cluster has cores is returned as it is, so large
+    inputs are never shuffled for this.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, *keys)
