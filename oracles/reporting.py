@@ -42,6 +42,12 @@ cte("seen1", "SELECT seed, node FROM lv0 UNION ALL SELECT seed, node FROM lv1")
 cte("lv2", _LV.format("lv1", "seen1", 4))
 cte("seen2", "SELECT seed, node FROM seen1 UNION ALL SELECT seed, node FROM lv2")
 cte("lv3", _LV.format("lv2", "seen2", 3))
+_DOWN = _LV.replace("후방", "전방")
+cte("dn1", _DOWN.format("lv0", "lv0", 5))
+cte("seen_dn1", "SELECT seed, node FROM lv0 UNION ALL SELECT seed, node FROM dn1")
+cte("dn2", _DOWN.format("dn1", "seen_dn1", 4))
+cte("seen_dn2", "SELECT seed, node FROM seen_dn1 UNION ALL SELECT seed, node FROM dn2")
+cte("dn3", _DOWN.format("dn2", "seen_dn2", 3))
 
 SQL = {
     "a24_flow_edges": "SELECT supplier, consumer, n_origins, guessed FROM iflow",
@@ -57,6 +63,9 @@ SQL = {
     "g6_chain_levels": """
         SELECT seed, 1::BIGINT AS level, rank, node FROM lv1 UNION ALL SELECT seed, 2, rank, node FROM lv2
         UNION ALL SELECT seed, 3, rank, node FROM lv3""",
+    "t10_chain_levels": """
+        SELECT seed, 1::BIGINT AS level, rank, node FROM dn1 UNION ALL SELECT seed, 2, rank, node FROM dn2
+        UNION ALL SELECT seed, 3, rank, node FROM dn3""",
     "a19_trade_rollup": """
         SELECT substr(src, 3) AS seller, substr(dst, 3) AS buyer, arg_min(product, (-length(product), product)) AS product,
                max(weight)::DOUBLE AS weight FROM trades GROUP BY 1, 2""",

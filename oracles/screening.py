@@ -135,6 +135,9 @@ SQL = {
             SELECT DISTINCT 'ETF:' || p_name AS grp, {BRAND} AS ticker FROM part
             WHERE p_size <> 1 AND p_name NOT LIKE '%red%' AND p_name NOT LIKE '%gear%')
         QUALIFY count(*) OVER (PARTITION BY grp) BETWEEN 5 AND 80""",
+    "s15_partition_sink": """
+        SELECT CAST(base_date AS VARCHAR) AS base_date, count(*) AS n,
+               sum(CASE WHEN age < 3 THEN -volume ELSE volume END) AS volume FROM sm_panel GROUP BY base_date""",
     "w1_daily_return": f"""
         SELECT ticker, p.dt_idx, {r('q.ret', 8)} AS ret
         FROM bw_panel p LEFT JOIN bw_ret q USING (ticker, dt_idx)""",

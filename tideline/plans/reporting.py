@@ -97,6 +97,15 @@ def g6(spark, sf_dir):
     return Ch.chain_levels(o.select("industry").distinct(), up)
 
 
+@query("t10_chain_levels")
+def t10(spark, sf_dir):
+    """The same chains in the direction of demand."""
+    o = origins(spark, sf_dir)
+    down = o.where(F.col("rel") == S.REL_DOWNSTREAM).select(F.col("industry").alias("node"),
+                                                            F.col("other").alias("target"), "n_origins")
+    return Ch.chain_levels(o.select("industry").distinct(), down)
+
+
 @query("a19_trade_rollup")
 def a19(spark, sf_dir):
     out = T.trades_in_order(T.trade_rollup(trade_edges(spark, sf_dir)), I.supplier_master(spark, sf_dir))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline import settings as S
-from tideline.functions.numbers import numeric_text
 from tideline.operators import groups as G
 from tideline.operators import market as M
 from tideline.operators import signals as sig
 from tideline.operators.order_stats import with_pct_rank
 from tideline.plans import inputs as I
 from tideline.plans.registry import query, rounded
+from tideline.runtime import shared_folder
 from tideline.sources import panel as P
+from tideline.sources.records import save_by_date
 
 # Revenue in cents stands in for market cap, so the size limits are those of this market.
 SCREEN = S.ScreenSettings(min_market_cap=1_000_000_000, min_avg_turnover=10_000)
@@ -155,6 +158,18 @@ def s10(spark, sf_dir):
     return G.group_catalog(group_listing(spark, sf_dir))
 
 
+@query("s15_partition_sink")
+def s15(spark, sf_dir):
+    """Write a panel by date, restate its newest three dates, and read everything back."""
+    panel = I.supplier_panel(spark, sf_dir).select("base_date", "ticker", "age", "volume")
+    path = f"{shared_folder(spark)}/tideline-{spark.sparkContext.applicationId}/sink-{uuid.uuid4().hex}"
+    save_by_date(panel, path)
+    save_by_date(panel.where("age < 3").withColumn("volume", -F.col("volume")), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("base_date").cast("string").alias("base_date")).agg(
+        F.count("*").alias("n"), F.sum("volume").alias("volume"))
+
+
 @query("w1_daily_return")
 def w1(spark, sf_dir):
     return rounded(sig.with_daily_return(I.brand_week_panel(spark, sf_dir)), 8, "ret").select(

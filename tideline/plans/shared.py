@@ -36,3 +36,11 @@ def kept(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def forget() -> None:
     """Build the shared tables anew from here on (fresh inputs, or a timing run)."""
     _WRITTEN.clear()
+
+
+def staged(df: DataFrame, run: str, name: str) -> DataFrame:
+    """Write an intermediate table of a run to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tideline-{spark.sparkContext.applicationId}/run-{run}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -150,8 +150,9 @@ def master_from_snapshot(snapshots: DataFrame) -> DataFrame:
             .dropDuplicates(["ticker"]))
 
 
-def factor_proxies(specs: DataFrame, catalog: DataFrame, panel: DataFrame) -> DataFrame:
-    """Best proxy product per factor.
+def factor_proxies(specs: DataFrame, catalog: DataFrame, panel: DataFrame,
+                   by_keyword: bool = True) -> DataFrame:
+    """Best proxy product per factor: first keyword, then shortest name; or only the shortest name.
 
     ``specs(factor, keywords ARRAY, exclude ARRAY)`` is configuration, a handful of rows. The rank
     of a product is the position of the first keyword its name contains; a factor without a usable
@@ -166,7 +167,8 @@ def factor_proxies(specs: DataFrame, catalog: DataFrame, panel: DataFrame) -> Da
     matches = (named.join(F.broadcast(specs), ~banned & (F.size(hit) > 0))
                .withColumn("kw_rank", F.get(hit, F.lit(0))))
     best = (matches.groupBy("factor")
-            .agg(F.min(F.struct("kw_rank", F.length("name").alias("len"), "ticker", "name"))
+            .agg(F.min_by(F.struct("kw_rank", "ticker", "name"), F.struct(
+                *(["kw_rank"] if by_keyword else []), F.length("name").alias("len"), "ticker", "name"))
                  .alias("b")))
     return (specs.select("factor").join(best, "factor", "left")
             .select("factor", F.col("b.ticker").alias("ticker"),
