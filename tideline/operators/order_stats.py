@@ -56,23 +56,21 @@ def with_pct_rank(df: DataFrame, value: str, out: str, scale: float = 1.0) -> Da
 def largest(df: DataFrame, value: str, share: int, tie: list[str], scale: float = 1.0) -> DataFrame:
     """The ``max(1, n div share)`` rows with the largest values, n counting non-NULL values.
 
-    Whole values are taken by their exact rank; only rows that hold the cut-off value are sorted.
+    The cut-off value follows from exact ranks over value counts (one row comes to the driver).
+    Rows above it are taken whole; of the rows that hold it, the first by ``tie``.
     """
     vals = _value_counts(df, [], value, scale)
     offsets = _with_offsets(vals, []).select("_b", "_before", "_n")
     inside = Window.partitionBy("_b").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    above = (vals.join(F.broadcast(offsets), "_b")
-             .withColumn("_above", F.col("_n") - F.col("_before") - F.sum("_c").over(inside))
-             .withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") / share)))
-             .where(F.col("_above") < F.col("_k"))
-             .select("_v", "_above", "_k", (F.col("_above") + F.col("_c") > F.col("_k")).alias("_cut")))
-    hit = df.join(above, df[value] == above["_v"])
-    order = F.row_number().over(Window.partitionBy("_v").orderBy(*tie))
-    whole = hit.where(~F.col("_cut"))
-    cut = hit.where(F.col("_cut")).withColumn("_rn", order).where(
-        F.col("_rn") <= F.col("_k") - F.col("_above")).drop("_rn")
-    return whole.unionByName(cut).drop("_v", "_above", "_k", "_cut")
+    cut = (vals.join(F.broadcast(offsets), "_b")
+           .withColumn("_above", F.col("_n") - F.col("_before") - F.sum("_c").over(inside))
+           .withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") / share)))
+           .where((F.col("_above") < F.col("_k")) & (F.col("_above") + F.col("_c") >= F.col("_k"))).first())
+    if cut is None:
+        return df.limit(0)
+    at = df.where(F.col(value) == cut["_v"]).orderBy(*tie).limit(int(cut["_k"] - cut["_above"]))
+    return df.where(F.col(value) > cut["_v"]).unionByName(at)
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
