@@ -62,37 +62,39 @@ def _pairs(spark, df: DataFrame | None) -> DataFrame:
 
 def filing_edges(inputs: Inputs, edges: DataFrame, asof: str) -> tuple[DataFrame, DataFrame]:
     """(edges of verified filing items, checked items)."""
-    spark = inputs.snapshots.sparkSession
-    checked = D.check_quotes(inputs.extractions, inputs.sections)
+    spark = edges.sparkSession
+    checked = staged(D.check_quotes(inputs.extractions, inputs.sections), asof, "checked_items")
     ok = checked.where("holds").drop("holds")
     said = ok.select(F.col("industry").alias("name"), "pos").unionByName(
         ok.where(F.coalesce("segment", F.lit("")) != "").select(F.col("segment").alias("name"), "pos"))
-    industry = NM.resolve_industries(said, NM.industry_vocabulary(edges, R.map_rows(inputs.maps)),
-                                     _pairs(spark, inputs.aliases))
+    industry = staged(NM.resolve_industries(said, NM.industry_vocabulary(edges, R.map_rows(inputs.maps)),
+                                            _pairs(spark, inputs.aliases)), asof, "industries")
     items = ok.withColumnRenamed("industry", "name").join(industry.select("name", "industry"), "name")
+    folded = staged(D.fold(items), asof, "folded_items")
     prefix = inputs.sections.select("ticker", F.concat("report_nm", F.lit("("), "rcept_dt", F.lit("): ")).alias("prefix"))
-    return D.filing_edges(D.fold(items), industry, asof, prefix), checked
+    return D.filing_edges(folded, industry, asof, prefix), checked
 
 
 def build_persistent(inputs: Inputs, master: DataFrame, asof: str) -> DataFrame:
     """Edges that outlive the day: maps, earlier edges, profiles, filings, contracts, preferred shares."""
     spark = master.sparkSession
-    index = NM.name_index(master)
-    from_maps = R.map_edges(inputs.maps, NM.resolve(inputs.maps, master, index), asof)
+    keep = lambda name, df: staged(df, asof, name)
+    index = keep("name_index", NM.name_index(master))
+    from_maps = keep("map_edges", R.map_edges(inputs.maps, NM.resolve(inputs.maps, master, index), asof))
     lists = [from_maps]
     if inputs.persistent is not None:
         lists.insert(0, R.persistent_only(inputs.persistent))
     if inputs.profiles is not None:
         named = NM.resolve(inputs.profiles, master, index, "other_name")
-        lists.append(R.profile_trades(inputs.profiles, named, master, asof)[0])
+        lists.append(keep("profile_edges", R.profile_trades(inputs.profiles, named, master, asof)[0]))
     if inputs.extractions is not None:
-        lists.append(filing_edges(inputs, from_maps, asof)[0])
-        lists.append(D.company_trades(inputs.extractions, master, index,
-                                      _pairs(spark, inputs.counterparty_aliases), asof)[0])
+        lists.append(keep("filing_edges", filing_edges(inputs, from_maps, asof)[0]))
+        lists.append(keep("trade_edges", D.company_trades(
+            inputs.extractions, master, index, _pairs(spark, inputs.counterparty_aliases), asof)[0]))
     if inputs.contracts is not None:
-        parsed = D.parsed_contracts(D.latest_filings(inputs.contracts))
-        lists.append(D.contract_edges(parsed, master, index, asof)[0])
-    merged = R.merge(*lists)
+        parsed = keep("contracts", D.parsed_contracts(D.latest_filings(inputs.contracts)))
+        lists.append(keep("contract_edges", D.contract_edges(parsed, master, index, asof)[0]))
+    merged = keep("merged_edges", R.merge(*lists))
     merged = R.merge(merged, R.inherit_preferred(merged, master, asof)[0])
     if inputs.profiles is not None:
         products = inputs.profiles.groupBy("ticker").agg(F.min("products").alias("products"))
@@ -153,8 +155,10 @@ def run_daily(inputs: Inputs, as_of: str, settings: Settings | None = None) -> d
     graph = keep("graph", R.merge(persistent, R.merge(*daily)))
     asked = top.select("ticker").limit(cfg.graph.max_candidates).withColumn(
         "pos", F.row_number().over(Window.orderBy("ticker")))
+    best = keep("best_gaps", X.best_gap(gaps))
+    lines = T.context_lines(graph, keep("asked", asked), master, best, cfg.graph)
     out |= {"graph": graph, "reach": R.reachability(graph, asked, cfg.graph.min_confidence),
-            "contexts": T.context_text(T.context_lines(graph, asked, master, X.best_gap(gaps), cfg.graph))}
+            "contexts": keep("contexts", T.context_text(lines))}
     return out
 
 
