@@ -45,7 +45,7 @@ def markup_to_text(col: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)<BR\s*/?>", "\n")
     t = F.regexp_replace(t, r"(?i)</(?:TD|TE|TH)\s*>", " | ")
     t = F.regexp_replace(t, r"<[^>]+>", "")
-    t = F.replace(decode_references(t), F.lit(" "), F.lit(" "))
+    t = F.replace(decode_references(t), F.lit("\u00a0"), F.lit(" "))
     t = F.regexp_replace(t, r"[ \t]+", " ")
     lines = F.transform(F.split(t, "\n"), lambda x: strip_ws(F.regexp_replace(x, r"\A[ |]+|[ |]+\z", "")))
     return strip_ws(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
