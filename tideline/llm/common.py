@@ -32,12 +32,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def looked_up(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def looked_up(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", grows: bool = False) -> DataFrame:
     """Join with a written table `right` that has one row per key.
 
     It is broadcast only when its counted rows are few; beyond that Spark shuffles both sides and
-    splits skewed keys of `left` at run time.
+    splits skewed keys of `left` at run time. A table that `grows` as the documents do is shuffled at
+    every size.
     """
+    if grows:
+        return left.join(right.hint("merge"), on, how)
     few = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return left.join(F.broadcast(right) if few else right, on, how)
 

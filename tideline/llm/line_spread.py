@@ -34,8 +34,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), lines_of(F.col("text")).alias("lines"))
     longest = F.array_max(F.transform("lines", lambda x: F.named_struct(F.lit("n"), F.length(x), F.lit("line"), x)))["line"]
-    rows = rows.select("site", F.xxhash64(longest).alias("companion"), F.explode("lines").alias("raw"))
-    rows = rows.select(F.xxhash64("site").alias("site"), "companion", _line_key(F.col("raw")).alias("line")).where("line is not null")
+    # what holds for a whole document is worked out before its lines are exploded, not once per line
+    rows = rows.select(F.xxhash64("site").alias("site"), F.xxhash64(longest).alias("companion"), "lines")
+    rows = rows.select("site", "companion", F.explode("lines").alias("raw")).select("site", "companion", _line_key(F.col("raw")).alias("line")).where("line is not null")
     spread = rows.groupBy("line").agg(F.approx_count_distinct("site", ERROR).alias("sites"), F.approx_count_distinct("companion", ERROR).alias("companions"))
     low, high = min_sites / 3, min_sites * (1 + 4 * ERROR) + 1
     spread = staged(spread.where((F.col("sites") >= low) & (F.col("companions") >= low)), "spread")
@@ -49,8 +50,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(id_key, text_key, gone): positions of the boilerplate lines of each distinct document that has any."""
     keys = boilerplate(docs, min_sites)
-    rows = docs.select(id_key(F.col("doc_id")).alias("id_key"), text_key(F.col("text")).alias("text_key"), F.posexplode(lines_of(F.col("text"))))
-    rows = rows.select("id_key", "text_key", "pos", _line_key(F.col("col")).alias("line"))
+    rows = docs.select(id_key(F.col("doc_id")).alias("id_key"), text_key(F.col("text")).alias("text_key"), lines_of(F.col("text")).alias("lines"))
+    rows = rows.select("id_key", "text_key", F.posexplode("lines")).select("id_key", "text_key", "pos", _line_key(F.col("col")).alias("line"))
     found = looked_up(rows.where("line is not null"), keys, ["line"], "inner")
     return staged(found.groupBy("id_key", "text_key").agg(F.collect_set("pos").alias("gone")), "removals")
 
