@@ -66,7 +66,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     """
     gone = removals(docs, min_sites).select(F.col("id_key").alias("__id"), F.col("text_key").alias("__text"), F.col("gone").alias("__gone"))
     keyed = docs.withColumns({"__id": id_key(F.col("doc_id")), "__text": text_key(F.col("text"))})
-    joined = looked_up(keyed, gone, ["__id", "__text"])
+    joined = looked_up(keyed, gone, ["__id", "__text"], grows=True)
     kept = F.array_join(F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     changed = joined.withColumns({

@@ -122,11 +122,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     low = grouped.where("component_id is not null and doc_id = component_id").groupBy("component_id").agg(F.min("txt").alias("txt"))
     kept = low.select(F.col("component_id").cast("string").alias("id"), "txt")
     nameless = grouped.where("component_id is null").groupBy("fp").agg(F.min("txt").alias("txt")).select(F.lit("-").alias("id"), "txt")
-    kept = kept.union(nameless).join(grouped.groupBy("id", "txt").agg(F.count("*").alias("copies")), ["id", "txt"])
-    kept = staged(kept.select(F.col("id").alias("__id"), F.col("txt").alias("__text"), F.col("copies").alias("__copies")), "kept")
+    kept = kept.union(nameless).withColumn("keep", F.lit(True))
+    # most documents are alone: only those that go, and those with repeated rows, are looked up
+    keys = grouped.groupBy("id", "txt").agg(F.count("*").alias("copies")).join(kept, ["id", "txt"], "left")
+    odd = staged(keys.where("keep is null or copies > 1").select(F.col("id").alias("__id"), F.col("txt").alias("__text"), F.col("keep").alias("__keep"), F.col("copies").alias("__copies")), "odd")
     whole = docs.withColumns({"__id": id_key(F.col("doc_id")), "__text": text_key(F.col("text"))})
-    out = looked_up(whole, kept, ["__id", "__text"], "inner")
-    single = out.where("__copies = 1").select(*docs.columns)
+    out = looked_up(whole, odd, ["__id", "__text"])
+    single = out.where("__copies is null").select(*docs.columns)
     order = Window.partitionBy("__id", "__text").orderBy(F.lit(1))
-    repeated = out.where("__copies > 1").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    repeated = out.where("__keep and __copies > 1").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
     return single.unionByName(repeated)

@@ -114,7 +114,7 @@ def mixed_documents(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
     keyed = docs.withColumns({"__id": id_key(F.col("doc_id")), "__text": text_key(F.col("text"))})
     counts = mix(docs, most, seed, text=True).groupBy("id_key", "text_key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     counts = staged(counts.where("__copies > 0").select(F.col("id_key").alias("__id"), F.col("text_key").alias("__text"), "__copies", "__rows"), "copies")
-    joined = looked_up(keyed, counts, ["__id", "__text"], "inner")
+    joined = looked_up(keyed, counts, ["__id", "__text"], "inner", grows=True)
     names = [c for c in docs.columns if c.lower() != "copies"]
     single = joined.where("__rows = 1").select(*names, F.col("__copies").alias("copies"))
     order = Window.partitionBy("__id", "__text").orderBy(F.lit(1))
