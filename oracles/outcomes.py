@@ -90,7 +90,6 @@ SQL = {
         LEFT JOIN (SELECT ticker, string_agg(grp, '|' ORDER BY grp) AS groups FROM grp_members GROUP BY 1) USING (ticker)
         LEFT JOIN (SELECT ticker, string_agg(industry, '|' ORDER BY industry) AS industries FROM mem GROUP BY 1)
         USING (ticker)""",
-    "t11_analysis_quota": "SELECT ticker, pos FROM cands",
     "s13_edges_jsonl": f"""
         SELECT source, rel, count(*) AS n, {r('sum(confidence)', 4)} AS confidence FROM every_edge GROUP BY 1, 2""",
     "s14_case_source": """

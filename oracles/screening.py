@@ -66,12 +66,19 @@ signals_cte("sm")
 
 
 def _screen(p: str, master: str) -> str:
+    return f"""
+    SELECT * EXCLUDE (pos) FROM ({_ranked(p, master)})"""
+
+
+def _ranked(p: str, master: str) -> str:
+    """The screen with the place of each ticker in it."""
     rank = lambda c: (f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
                       f" / count(*) OVER ()")
     return f"""
     SELECT ticker, name, trigger, CAST(floor(close) AS BIGINT) AS close, {r('ret5', 4)} AS ret5,
            {r('ret20', 4)} AS ret20, {r('ret60', 4)} AS ret60, {r('vol_surge', 2)} AS vol_surge,
-           {r('high_proximity', 3)} AS high_proximity, market_cap
+           {r('high_proximity', 3)} AS high_proximity, market_cap,
+           row_number() OVER (ORDER BY score DESC NULLS LAST, ticker) AS pos
     FROM (SELECT *, {rank('ret20')} + {rank('vol_surge')} + {rank('high_proximity')} AS score
           FROM {p}_trig JOIN {master} USING (ticker)
           WHERE market_cap >= 1000000000 AND avg_turnover >= 10000 AND trigger IS NOT NULL)
@@ -79,6 +86,7 @@ def _screen(p: str, master: str) -> str:
 
 
 SQL = {
+    "t11_analysis_quota": f"SELECT ticker, pos FROM ({_ranked('sm', 'sm_master')}) WHERE pos <= 20",
     "s1_snapshot_scan": f"""
         SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS base_date, {SUPP} AS ticker,
                l_linestatus AS market, l_orderkey, l_extendedprice FROM lineitem

@@ -117,13 +117,15 @@ def with_score(cands: DataFrame) -> DataFrame:
 
 def screen(panel: DataFrame, master: DataFrame,
            cfg: S.ScreenSettings | None = None) -> tuple[DataFrame, DataFrame]:
-    """(top candidates, filtered universe)."""
+    """(top candidates with their place ``pos``, filtered universe)."""
     cfg = cfg or S.ScreenSettings()
     universe = filter_universe(with_caps(compute_signals(panel, cfg), master), cfg)
     cands = with_score(with_trigger(universe, cfg).where(F.col("trigger").isNotNull()))
-    top = (cands.orderBy(F.col("score").desc_nulls_last(), "ticker").limit(cfg.top_n)
+    order = [F.col("score").desc_nulls_last(), F.col("ticker")]
+    # the window sees the rows of the limit only
+    top = (cands.orderBy(*order).limit(cfg.top_n).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
            .select("ticker", "name", "trigger", F.floor("close").cast("long").alias("close"),
                    F.round("ret5", 4).alias("ret5"), F.round("ret20", 4).alias("ret20"),
                    F.round("ret60", 4).alias("ret60"), F.round("vol_surge", 2).alias("vol_surge"),
-                   F.round("high_proximity", 3).alias("high_proximity"), "market_cap"))
+                   F.round("high_proximity", 3).alias("high_proximity"), "market_cap", "pos"))
     return top, universe

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators import disclosures as D
@@ -21,7 +21,7 @@ from tideline.operators import names as NM
 from tideline.operators import reports as T
 from tideline.operators import scoring as K
 from tideline.operators import signals as sig
-from tideline.plans.shared import staged
+from tideline.plans.shared import Run, new_run, staged
 from tideline.settings import Settings
 from tideline.sources import panel as P
 from tideline.sources.records import save_by_date
@@ -31,7 +31,9 @@ from tideline.sources.records import save_by_date
 class Inputs:
     """What a daily run reads. Optional inputs add evidence when present.
 
-    snapshots        (base_date, ticker, name, market, sector, close, volume, value, market_cap)
+    snapshots        (base_date, ticker, name, market, sector, close, volume, value, market_cap); with a
+                     column ``pos`` the first row of a (day, ticker) wins; with ``code`` in place of
+                     ``ticker`` codes are normalized, and too many odd ones stop the run
     maps             (map_file, industry, block, segment, company)
     etf_snapshots    (base_date, ticker, name, close); factor_specs (factor, keywords, exclude)
     group_listing    (kind, name, ticker)
@@ -60,62 +62,95 @@ def _pairs(spark, df: DataFrame | None) -> DataFrame:
     return df if df is not None else spark.createDataFrame([], "alias string, target string")
 
 
-def filing_edges(inputs: Inputs, edges: DataFrame, asof: str) -> tuple[DataFrame, DataFrame]:
-    """(edges of verified filing items, checked items)."""
+def gated_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Snapshots with normalized tickers and one row per (day, ticker)."""
+    if "ticker" not in snapshots.columns:
+        snapshots = P.gate_codes(snapshots, "code").drop("code")
+    return P.first_per_ticker(snapshots, ["pos"]).drop("pos") if "pos" in snapshots.columns else snapshots
+
+
+def filing_edges(inputs: Inputs, edges: DataFrame, asof: str, run: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(edges of verified filing items, reject tables)."""
     spark = edges.sparkSession
-    checked = staged(D.check_quotes(inputs.extractions, inputs.sections), asof, "checked_items")
+    checked = staged(D.check_quotes(inputs.extractions, inputs.sections), run, "checked_items")
     ok = checked.where("holds").drop("holds")
     said = ok.select(F.col("industry").alias("name"), "pos").unionByName(
         ok.where(F.coalesce("segment", F.lit("")) != "").select(F.col("segment").alias("name"), "pos"))
     industry = staged(NM.resolve_industries(said, NM.industry_vocabulary(edges, R.map_rows(inputs.maps)),
-                                            _pairs(spark, inputs.aliases)), asof, "industries")
+                                            _pairs(spark, inputs.aliases)), run, "industries")
     items = ok.withColumnRenamed("industry", "name").join(industry.select("name", "industry"), "name")
-    folded = staged(D.fold(items), asof, "folded_items")
+    folded = staged(D.fold(items), run, "folded_items")
     prefix = inputs.sections.select("ticker", F.concat("report_nm", F.lit("("), "rcept_dt", F.lit("): ")).alias("prefix"))
-    return D.filing_edges(folded, industry, asof, prefix), checked
+    return D.filing_edges(folded, industry, asof, prefix), {
+        "dropped_quotes": checked.where(~F.col("holds")).drop("holds"), "quote_stats": D.quote_stats(checked),
+        "relations_without_products": D.relations_without_products(folded)}
 
 
-def build_persistent(inputs: Inputs, master: DataFrame, asof: str) -> DataFrame:
-    """Edges that outlive the day: maps, earlier edges, profiles, filings, contracts, preferred shares."""
+def persistent_tables(inputs: Inputs, master: DataFrame, asof: str, run: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Edges that outlive the day (maps, earlier edges, profiles, filings, contracts, preferred shares),
+    and what each step left out, by table name."""
     spark = master.sparkSession
-    keep = lambda name, df: staged(df, asof, name)
+    keep = lambda name, df: staged(df, run, name)
     index = keep("name_index", NM.name_index(master))
-    from_maps = keep("map_edges", R.map_edges(inputs.maps, NM.resolve(inputs.maps, master, index), asof))
-    lists = [from_maps]
+    map_names = keep("map_names", NM.resolve(inputs.maps, master, index))
+    from_maps = keep("map_edges", R.map_edges(inputs.maps, map_names, asof))
+    lists, rejects = [from_maps], {"unresolved_map_names": NM.unresolved(map_names)}
+
+    def add(name: str, rejected: str, both: tuple[DataFrame, DataFrame]) -> None:
+        lists.append(keep(name, both[0]))
+        rejects[rejected] = both[1]
+
     if inputs.persistent is not None:
-        lists.insert(0, R.persistent_only(inputs.persistent))
+        known, rejects["unknown_relations"] = R.known_relations(inputs.persistent)
+        lists.insert(0, R.persistent_only(known))
     if inputs.profiles is not None:
         named = NM.resolve(inputs.profiles, master, index, "other_name")
-        lists.append(keep("profile_edges", R.profile_trades(inputs.profiles, named, master, asof)[0]))
+        add("profile_edges", "unresolved_profiles", R.profile_trades(inputs.profiles, named, master, asof))
     if inputs.extractions is not None:
-        lists.append(keep("filing_edges", filing_edges(inputs, from_maps, asof)[0]))
-        lists.append(keep("trade_edges", D.company_trades(
-            inputs.extractions, master, index, _pairs(spark, inputs.counterparty_aliases), asof)[0]))
+        edges, left_out = filing_edges(inputs, from_maps, asof, run)
+        lists.append(keep("filing_edges", edges))
+        rejects |= left_out
+        add("trade_edges", "unlisted_counterparties", D.company_trades(
+            inputs.extractions, master, index, _pairs(spark, inputs.counterparty_aliases), asof))
     if inputs.contracts is not None:
         parsed = keep("contracts", D.parsed_contracts(D.latest_filings(inputs.contracts)))
-        lists.append(keep("contract_edges", D.contract_edges(parsed, master, index, asof)[0]))
+        add("contract_edges", "unlisted_buyers", D.contract_edges(parsed, master, index, asof))
     merged = keep("merged_edges", R.merge(*lists))
-    merged = R.merge(merged, R.inherit_preferred(merged, master, asof)[0])
+    inherited, rejects["orphan_preferred"] = R.inherit_preferred(merged, master, asof)
+    merged = R.merge(merged, inherited)
     if inputs.profiles is not None:
         products = inputs.profiles.groupBy("ticker").agg(F.min("products").alias("products"))
         merged = R.backfill_products(merged, products)
-    return merged
+    return merged, rejects
 
 
-def run_daily(inputs: Inputs, as_of: str, settings: Settings | None = None) -> dict[str, DataFrame]:
-    """One day end to end: screen, groups, factors, gaps, relation graph, price evidence, texts."""
+def build_persistent(inputs: Inputs, master: DataFrame, asof: str) -> DataFrame:
+    """The edges of ``persistent_tables`` alone."""
+    return persistent_tables(inputs, master, asof, new_run(asof))[0]
+
+
+def run_daily(inputs: Inputs, as_of: str, settings: Settings | None = None, strict: bool = False) -> Run:
+    """One day end to end: screen, groups, factors, gaps, relation graph, price evidence, texts.
+
+    Result names that start with ``rejects_`` hold what a step left out. ``strict`` stops the run when
+    there are fewer trading days than the screen looks back. ``discard()`` of the result deletes the
+    staged tables once the results are stored.
+    """
     cfg = settings or Settings()
-    keep = lambda name, df: staged(df, as_of, name)
-    panel = keep("panel", P.price_panel(inputs.snapshots, cfg.screen.lookback_days, as_of))
+    run = new_run(as_of)
+    keep = lambda name, df: staged(df, run, name)
+    snapshots = gated_snapshots(inputs.snapshots)
+    panel = keep("panel", P.price_panel(snapshots, cfg.screen.lookback_days, as_of, strict))
     cal = keep("calendar", panel.select("base_date", "dt_idx", "age", "n_days").distinct())
-    newest = inputs.snapshots.where(F.col("base_date") <= F.lit(as_of))
+    newest = snapshots.where(F.col("base_date") <= F.lit(as_of))
     master = keep("master", P.master_from_snapshot(newest))
     sig.require_caps(master)
     top, universe = sig.screen(panel, master, cfg.screen)
     universe = keep("universe", universe)
     top = keep("candidates", top)
 
-    persistent = keep("persistent", build_persistent(inputs, master, as_of))
+    edges, rejects = persistent_tables(inputs, master, as_of, run)
+    persistent = keep("persistent", edges)
     rets = keep("returns", sig.with_daily_return(
         panel.join(universe.select("ticker"), "ticker", "left_semi")).select("ticker", "dt_idx", "age", "n_days", "ret"))
     caps = master.select("ticker", "market_cap")
@@ -153,23 +188,24 @@ def run_daily(inputs: Inputs, as_of: str, settings: Settings | None = None) -> d
         out |= {"factor_proxies": proxies, "exposures": exp, "factor_moves": X.factor_moves(f, window)}
         daily.append(R.factor_edges(exp, as_of, cfg.graph))
     graph = keep("graph", R.merge(persistent, R.merge(*daily)))
-    asked = top.select("ticker").limit(cfg.graph.max_candidates).withColumn(
-        "pos", F.row_number().over(Window.orderBy("ticker")))
+    asked = top.where(F.col("pos") <= cfg.graph.max_candidates).select("ticker", "pos")
     best = keep("best_gaps", X.best_gap(gaps))
     lines = T.context_lines(graph, keep("asked", asked), master, best, cfg.graph)
     out |= {"graph": graph, "reach": R.reachability(graph, asked, cfg.graph.min_confidence),
             "contexts": keep("contexts", T.context_text(lines))}
-    return out
+    return Run(out | {f"rejects_{name}": table for name, table in rejects.items()}, panel.sparkSession, run)
 
 
 def run_cycle_lags(inputs: Inputs, as_of: str, settings: Settings | None = None) -> DataFrame:
     """The slow run over the whole market and a long panel; feeds ``Inputs.cycle_lags``."""
     cfg = settings or Settings()
-    keep = lambda name, df: staged(df, f"{as_of}-slow", name)
-    panel = keep("panel", P.price_panel(inputs.snapshots, None, as_of))
+    run = new_run(f"{as_of}-slow")
+    keep = lambda name, df: staged(df, run, name)
+    snapshots = gated_snapshots(inputs.snapshots)
+    panel = keep("panel", P.price_panel(snapshots, None, as_of))
     cal = panel.select("base_date", "dt_idx", "age", "n_days").distinct()
-    master = keep("master", P.master_from_snapshot(inputs.snapshots.where(F.col("base_date") <= F.lit(as_of))))
-    edges = keep("persistent", build_persistent(inputs, master, as_of))
+    master = keep("master", P.master_from_snapshot(snapshots.where(F.col("base_date") <= F.lit(as_of))))
+    edges = keep("persistent", persistent_tables(inputs, master, as_of, run)[0])
     rets = keep("returns", sig.with_daily_return(panel).select("ticker", "dt_idx", "age", "n_days", "ret"))
     caps = master.select("ticker", "market_cap")
     members = R.members(edges)
@@ -178,12 +214,13 @@ def run_cycle_lags(inputs: Inputs, as_of: str, settings: Settings | None = None)
     return L.cycle_lags(edges, keep("series", series), members, cfg.lags)
 
 
-def run_scoring(cases: DataFrame, prices: DataFrame, as_of: str, horizon: int = 10) -> dict[str, DataFrame]:
+def run_scoring(cases: DataFrame, prices: DataFrame, as_of: str, horizon: int = 10) -> Run:
     """Score aged predictions of case files against later prices(ticker, day, close)."""
     predictions = K.aged_predictions(cases, as_of, K.min_age_days(horizon))
-    scored = staged(K.score_rows(predictions, K.forward_returns(predictions, prices, horizon)), as_of, "scored")
-    return {"scored": scored, "summary": K.summary(scored), "directional": K.directional_hit_rate(scored),
-            "gap_validity": K.gap_validity(scored)}
+    run = new_run(f"{as_of}-scoring")
+    scored = staged(K.score_rows(predictions, K.forward_returns(predictions, prices, horizon)), run, "scored")
+    return Run({"scored": scored, "summary": K.summary(scored), "directional": K.directional_hit_rate(scored),
+                "gap_validity": K.gap_validity(scored)}, scored.sparkSession, run)
 
 
 STORED = ("candidates", "universe", "groups", "group_gaps", "exposures", "scored_edges", "graph", "contexts")

@@ -22,6 +22,7 @@ from tideline.plans import horizontal as H
 from tideline.plans import inputs as I
 from tideline.plans import relations as Q
 from tideline.plans.registry import query, rounded
+from tideline.plans.screening import SCREEN
 from tideline.plans.shared import kept
 from tideline.runtime import spread
 from tideline.sources import records as J
@@ -204,7 +205,9 @@ def j17(spark, sf_dir):
 
 @query("t11_analysis_quota")
 def t11(spark, sf_dir):
-    return Q.candidates(spark, sf_dir).select("ticker", "pos")
+    """The first of the screen, in its order."""
+    top, _ = sig.screen(I.supplier_panel(spark, sf_dir), I.supplier_master(spark, sf_dir), SCREEN)
+    return top.where(F.col("pos") <= Q.CAND_LIMIT).select("ticker", "pos")
 
 
 @query("s13_edges_jsonl")

@@ -252,13 +252,13 @@ def j1(spark, sf_dir):
 @query("t1_screen_topn")
 def t1(spark, sf_dir):
     top, _ = sig.screen(I.brand_week_panel(spark, sf_dir), I.brand_master(spark, sf_dir), SCREEN)
-    return top
+    return top.drop("pos")
 
 
 @query("t1_screen_suppliers")
 def t1_suppliers(spark, sf_dir):
     top, _ = sig.screen(I.supplier_panel(spark, sf_dir), I.supplier_master(spark, sf_dir), SCREEN)
-    return top
+    return top.drop("pos")
 
 
 @query("t2_universe_by_cap")

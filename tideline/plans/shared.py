@@ -8,6 +8,7 @@ gives the optimizer real sizes to choose joins by.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -38,9 +39,35 @@ def forget() -> None:
     _WRITTEN.clear()
 
 
+def new_run(label: str) -> str:
+    """Name of a run that no other run has, so that runs of the same day never meet in a folder."""
+    return f"{label}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession, run: str) -> str:
+    return f"{shared_folder(spark)}/tideline-{spark.sparkContext.applicationId}/run-{run}"
+
+
 def staged(df: DataFrame, run: str, name: str) -> DataFrame:
-    """Write an intermediate table of a run to the shared folder and read it back."""
+    """Write an intermediate table of a run (see ``new_run``) to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tideline-{spark.sparkContext.applicationId}/run-{run}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{_folder(spark, run)}/{name}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, run: str) -> None:
+    """Delete the staged tables of a run; DataFrames that read them are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark, run))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Run(dict):
+    """Result tables of a run by name. They read its staged tables until ``discard`` is called."""
+
+    def __init__(self, tables: dict[str, DataFrame], spark: SparkSession, run: str):
+        super().__init__(tables)
+        self.spark, self.run = spark, run
+
+    def discard(self) -> None:
+        discard(self.spark, self.run)

@@ -141,13 +141,19 @@ def basket_panel(etf_snapshots: DataFrame, cal: DataFrame) -> tuple[DataFrame, D
     return panel, catalog
 
 
-def master_from_snapshot(snapshots: DataFrame) -> DataFrame:
-    """Security master of the newest day, before any screening filter."""
+def master_from_snapshot(snapshots: DataFrame, position: tuple[str, ...] = ()) -> DataFrame:
+    """Security master of the newest day, before any screening filter.
+
+    A ticker listed twice keeps its first row by ``position``; rows of equal position, or all of them
+    without one, are ordered by their values, so that reruns agree.
+    """
     newest = snapshots.agg(F.max("base_date").alias("base_date"))
     cols = [c for c in ("ticker", "name", "market", "market_cap", "sector")
             if c in snapshots.columns]
-    return (snapshots.join(F.broadcast(newest), "base_date").select(*cols)
-            .dropDuplicates(["ticker"]))
+    rest = [c for c in cols if c != "ticker"]
+    first = F.min_by(F.struct(*rest), F.struct(*position, *rest)).alias("r")
+    day = snapshots.join(F.broadcast(newest), "base_date").groupBy("ticker").agg(first)
+    return day.select(*[F.col(c) if c == "ticker" else F.col(f"r.{c}").alias(c) for c in cols])
 
 
 def factor_proxies(specs: DataFrame, catalog: DataFrame, panel: DataFrame,
