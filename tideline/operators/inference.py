@@ -22,6 +22,20 @@ def _said(v: Column) -> Column:
     return F.concat(F.lit("='"), F.coalesce(v, F.lit("None")), F.lit("'"))
 
 
+def _elements(v: Column, key: str) -> Column:
+    """Elements of an array inside a JSON value, whatever their types; none when it is no array."""
+    return F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+
+
+def _field(v: Column, key: str) -> Column:
+    """Text of a field; NULL for a missing one and for a value that is no object."""
+    return F.when(_is_object(v), F.try_variant_get(v, f"$.{key}", "string"))
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+
+
 def _not_in(v: Column, allowed) -> Column:
     return ~F.coalesce(v.isin(*allowed), F.lit(False))
 
@@ -29,7 +43,8 @@ def _not_in(v: Column, allowed) -> Column:
 def validate_analyses(stored: DataFrame) -> DataFrame:
     """stored(ticker, payload) -> rec, problems. An analysis is usable when it has no problem."""
     j = stored.withColumn("keys", F.json_object_keys("payload")).withColumn(
-        "rec", F.from_json("payload", ANALYSIS_SCHEMA))
+        "rec", F.from_json("payload", ANALYSIS_SCHEMA)).withColumn(
+        "paths", _elements(F.try_parse_json("payload"), "ripple_paths"))
     keys, rec = F.col("keys"), F.col("rec")
     enums = {"cause_type": S.CAUSE_TYPES, "cause_scope": (S.SCOPE_COMPANY, S.SCOPE_INDUSTRY),
              "confidence": S.CONFIDENCE_LEVELS, "ripple_axis": S.RIPPLE_AXES}
@@ -40,19 +55,18 @@ def validate_analyses(stored: DataFrame) -> DataFrame:
                           F.concat(F.lit(k), _said(rec[k]), F.lit("는 허용값이 아님"))))
 
     def of_beneficiary(b: Column) -> Column:
-        return (F.when(F.coalesce(b["name"], F.lit("")) == "", F.lit("수혜 후보에 name이 없음"))
-                .when(_not_in(b["impact"], (S.IMPACT_GAIN, S.IMPACT_LOSS)),
-                      F.concat(F.lit("impact"), _said(b["impact"]), F.lit(" 허용값 아님"))))
+        return (F.when(F.coalesce(_field(b, "name"), F.lit("")) == "", F.lit("수혜 후보에 name이 없음"))
+                .when(_not_in(_field(b, "impact"), (S.IMPACT_GAIN, S.IMPACT_LOSS)),
+                      F.concat(F.lit("impact"), _said(_field(b, "impact")), F.lit(" 허용값 아님"))))
 
     def of_path(p: Column) -> Column:
-        way = _one(_not_in(p["direction"], S.DIRECTIONS),
-                   F.concat(F.lit("direction"), _said(p["direction"]), F.lit(" 허용값 아님")))
-        return F.concat(way, F.array_compact(F.transform(
-            F.coalesce(p["beneficiaries"], F.array().cast(
-                "array<struct<name:string,impact:string,reason:string>>")), of_beneficiary)))
-
-    lists.append(F.coalesce(F.flatten(F.transform(rec["ripple_paths"], of_path)), none))
-    lists.append(_one((rec["cause_scope"] == S.SCOPE_COMPANY) & (F.size(rec["ripple_paths"]) > 0),
+        way = _one(_not_in(_field(p, "direction"), S.DIRECTIONS),
+                   F.concat(F.lit("direction"), _said(_field(p, "direction")), F.lit(" 허용값 아님")))
+        told = F.concat(way, F.array_compact(F.transform(_elements(p, "beneficiaries"), of_beneficiary)))
+        return F.when(_is_object(p), told).otherwise(F.array(F.lit("ripple_paths 항목이 객체가 아님")))
+
+    lists.append(F.coalesce(F.flatten(F.transform("paths", of_path)), none))
+    lists.append(_one((rec["cause_scope"] == S.SCOPE_COMPANY) & (F.size("paths") > 0),
                       F.lit("회사고유인데 파급 경로가 있음")))
     problems = F.when(keys.isNull(), F.array(F.lit("객체가 아님"))).otherwise(F.concat(*lists))
     return j.select("ticker", "rec", problems.alias("problems"))
@@ -61,16 +75,17 @@ def validate_analyses(stored: DataFrame) -> DataFrame:
 def validate_synthesis(stored: DataFrame) -> DataFrame:
     """stored(run, payload) -> rec, problems for the summary document of each run."""
     j = stored.withColumn("keys", F.json_object_keys("payload")).withColumn(
-        "rec", F.from_json("payload", SYNTHESIS_SCHEMA))
+        "rec", F.from_json("payload", SYNTHESIS_SCHEMA)).withColumn(
+        "ideas", _elements(F.try_parse_json("payload"), "ideas"))
 
     def of_idea(i: Column) -> Column:
-        axis = _one(_not_in(i["axis"], S.IDEA_AXES), F.concat(F.lit("axis"), _said(i["axis"]), F.lit(" 허용값 아님")))
-        bad = F.filter(i["beneficiaries"], lambda b: _not_in(b["priced_in"], S.PRICED_IN))
-        told = F.transform(bad, lambda b: F.concat(F.lit("priced_in"), _said(b["priced_in"]), F.lit(" 허용값 아님")))
-        return F.concat(axis, F.coalesce(told, F.array().cast("array<string>")))
+        axis = _one(_not_in(_field(i, "axis"), S.IDEA_AXES), F.concat(F.lit("axis"), _said(_field(i, "axis")), F.lit(" 허용값 아님")))
+        bad = F.filter(_elements(i, "beneficiaries"), lambda b: _not_in(_field(b, "priced_in"), S.PRICED_IN))
+        told = F.transform(bad, lambda b: F.concat(F.lit("priced_in"), _said(_field(b, "priced_in")), F.lit(" 허용값 아님")))
+        return F.concat(axis, told)
 
     lists = F.concat(_missing(F.col("keys"), S.SYNTHESIS_REQUIRED, ""), F.coalesce(
-        F.flatten(F.transform(F.col("rec")["ideas"], of_idea)), F.array().cast("array<string>")))
+        F.flatten(F.transform("ideas", of_idea)), F.array().cast("array<string>")))
     return j.select("run", "rec", F.when(F.col("keys").isNull(), F.array(F.lit("객체가 아님")))
                     .otherwise(lists).alias("problems"))
 
@@ -104,8 +119,11 @@ def synthesis_beneficiaries(runs: DataFrame, key: str = "run", rec: str = "rec")
 def annotate_priced_in(named: DataFrame, resolved: DataFrame, returns: DataFrame, best: DataFrame) -> DataFrame:
     """Beneficiaries with ticker, recent returns and the largest unreacted gap."""
     j = named.join(resolved.select(F.col("company").alias("name"), "ticker"), "name", "left")
-    j = j.join(returns.select("ticker", "ret5", "ret20"), "ticker", "left")
-    return j.join(best.select("ticker", "gap", F.col("grp").alias("gap_group"), "beta"), "ticker", "left")
+    # names without a ticker skip these joins: their NULL keys would meet in one task
+    known = j.where(F.col("ticker").isNotNull()).join(
+        returns.select("ticker", "ret5", "ret20"), "ticker", "left").join(
+        best.select("ticker", "gap", F.col("grp").alias("gap_group"), "beta"), "ticker", "left")
+    return known.unionByName(j.where(F.col("ticker").isNull()), allowMissingColumns=True).select(*known.columns)
 
 
 def match_stats(annotated: DataFrame) -> DataFrame:

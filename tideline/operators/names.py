@@ -37,10 +37,11 @@ def resolve(names: DataFrame, master: DataFrame, index: DataFrame, col: str = "c
         "_norm", F.when(F.col("_explicit").isNull(), normalize_name(F.col("company"))))
     listed = master.select(F.col("ticker").alias("_listed"))
     by_name = index.select(F.col("norm_name").alias("_norm"), F.col("ticker").alias("_by_name"))
-    j = asked.join(listed, F.col("_explicit") == F.col("_listed"), "left").join(
-        by_name, "_norm", "left")
-    return j.select("company", F.when(F.col("_explicit").isNotNull(), F.col("_listed"))
-                    .otherwise(F.col("_by_name")).alias("ticker"))
+    # one branch per kind of name: a NULL join key would send all rows of the other kind to one task
+    told = asked.where(F.col("_explicit").isNotNull()).join(listed, F.col("_explicit") == F.col("_listed"), "left")
+    named = asked.where(F.col("_explicit").isNull()).join(by_name, "_norm", "left")
+    return told.select("company", F.col("_listed").alias("ticker")).unionByName(
+        named.select("company", F.col("_by_name").alias("ticker")))
 
 
 def unresolved(resolved: DataFrame) -> DataFrame:
