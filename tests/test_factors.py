@@ -95,3 +95,12 @@ def test_flat_ticker_has_no_correlation_and_flat_series_no_rows(spark):
     row = X.beta_corr(r, moving).first()
     assert row["beta"] == 0.0 and row["corr"] is None
     assert X.beta_corr(r, still).count() == 0
+
+
+def test_constant_series_have_no_correlation(spark):
+    """Rounding residue of sums is no variance: constants of many sizes give NULL, not a number near 0."""
+    rows = [(f"t{k}", d, 0.001 * (k + 1) / 3) for k in range(59) for d in range(60)]
+    rets = spark.createDataFrame(rows, "ticker string, dt_idx int, ret double")
+    x = spark.createDataFrame([(d, ((d * 7) % 11) / 100.0) for d in range(60)], "dt_idx int, x double")
+    got = X.beta_corr(rets, x).collect()
+    assert len(got) == 59 and all(r["corr"] is None for r in got)

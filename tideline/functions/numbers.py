@@ -20,11 +20,20 @@ def positive_or_zero(col: Column) -> Column:
     return F.when(col > 0, col.cast("double")).otherwise(F.lit(0.0))
 
 
+#: Share of a sum of squares below which a variance out of sums is rounding residue.
+VARIANCE_FLOOR = 1e-12
+
+
+def variance_from_sums(n, sx, sxx) -> Column:
+    """Sum of squared deviations out of plain sums; 0 when only rounding residue is left."""
+    v = sxx - sx * sx / n
+    return F.when(v > VARIANCE_FLOOR * sxx, v).otherwise(F.lit(0.0))
+
+
 def corr_from_sums(n, sx, sy, sxx, syy, sxy) -> Column:
     """Pearson correlation out of plain sums, NULL when either side does not vary."""
     cov = sxy - sx * sy / n
-    vx = sxx - sx * sx / n
-    vy = syy - sy * sy / n
+    vx, vy = variance_from_sums(n, sx, sxx), variance_from_sums(n, sy, syy)
     return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
 
 

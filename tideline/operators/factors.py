@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline import settings as S
-from tideline.functions.numbers import ratio, safe_corr
+from tideline.functions.numbers import corr_from_sums, ratio, safe_corr, variance_from_sums
 
 CFG = S.HorizontalSettings()
 
@@ -24,12 +24,11 @@ def window_length(n_days: Column, wanted: int) -> Column:
 
 
 def _beta(n, sx, sy, sxx, sxy) -> Column:
-    return F.try_divide(sxy - sx * sy / n, sxx - sx * sx / n)
+    return F.try_divide(sxy - sx * sy / n, variance_from_sums(n, sx, sxx))
 
 
 def _corr(n, sx, sy, sxx, syy, sxy) -> Column:
-    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-    return F.when((vx > 0) & (vy > 0), (sxy - sx * sy / n) / F.sqrt(vx * vy))
+    return corr_from_sums(n, sx, sy, sxx, syy, sxy)
 
 
 def beta_corr(rets: DataFrame, series: DataFrame, min_ratio: float = CFG.min_valid_ratio
