@@ -124,7 +124,7 @@ SQL = {
     "g12_edge_price_score": "SELECT src, dst, rel, price_corr, price_lag, price_obs FROM scored",
     "f5_weak_edge_queue": """
         SELECT src, dst, rel, 'valuechain' AS source, '' AS origin, price_corr, price_obs,
-               left(evidence, 120) AS evidence FROM scored WHERE abs(price_corr) < 0.3""",
+               evidence FROM scored WHERE abs(price_corr) < 0.3""",
     "j9_unlinked_pairs": f"SELECT a, b, lag, {r('corr', 6)} AS corr, n FROM nat_found",
     "t7_discovery_topn": f"""
         SELECT a, b, lag, {r('corr', 3)} AS corr, n FROM nat_found ORDER BY abs(nat_found.corr) DESC, a, b LIMIT 40""",

@@ -72,13 +72,13 @@ def parse_contract(text: Column) -> Column:
         return F.struct(
             bind(clean_value(raw["counterparty"]), lambda p: F.when(plausible_name(p), p).otherwise(
                 F.lit(""))).alias("counterparty"),
-            F.substring(clean_value(raw["product"]), 1, 80).alias("product"),
+            clean_value(raw["product"]).alias("product"),
             first_amount(raw["amount"]).alias("amount"),
             first_amount(raw["recent_sales"]).alias("recent_sales"),
             sales_ratio(raw["ratio"]).alias("sales_ratio"),
             or_else(first_date(raw["begin"]), first_date(raw["period"])).alias("begin"),
             or_else(first_date(raw["end"]), F.coalesce(first_date(F.get(spans, F.lit(1))), F.lit(""))).alias("end"),
-            F.substring(clean_value(raw["region"]), 1, 40).alias("region"))
+            clean_value(raw["region"]).alias("region"))
 
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t\u00a0]+", " ")
     return bind(bind(flat, raw_fields), typed)

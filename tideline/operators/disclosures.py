@@ -41,7 +41,7 @@ def dropped_samples(checked: DataFrame, per_ticker: int = 5) -> DataFrame:
     """Up to five dropped quotes per ticker, in order (a report limit)."""
     order = F.when(F.col("side") == "products", 0).when(F.col("side") == "upstream", 1).otherwise(2)
     w = Window.partitionBy("ticker").orderBy(order, "pos")
-    text = F.concat("side", F.lit(":"), "industry", F.lit(" — "), F.substring("quote", 1, 60))
+    text = F.concat("side", F.lit(":"), "industry", F.lit(" — "), "quote")
     return checked.where(~F.col("holds")).withColumn("rank", F.row_number().over(w)).where(
         F.col("rank") <= per_ticker).select("ticker", "rank", text.alias("sample"))
 
@@ -91,8 +91,8 @@ def filing_edges(folded: DataFrame, segments: DataFrame, asof: str,
     """
     f = folded if prefix is None else folded.join(prefix, "ticker", "left")
     lead = F.coalesce("prefix", F.lit("")) if prefix is not None else F.lit("")
-    ev = F.concat(lead, F.substring("quote", 1, 150))
-    label = F.substring(F.array_join("products", " / "), 1, 80)
+    ev = F.concat(lead, "quote")
+    label = F.array_join("products", " / ")
     prods = f.where(F.col("side") == "products")
     member = R.edges(prods, src=N.ticker_node(F.col("ticker")), dst=N.industry_node(F.col("industry")),
                      rel=S.REL_MEMBER, source="dart", weight=F.col("share"), origin=F.col("ticker"),
@@ -167,8 +167,8 @@ def company_trades(items: DataFrame, master: DataFrame, index: DataFrame, aliase
     out = R.edges(first, src=N.ticker_node(F.when(fwd, F.col("ticker")).otherwise(F.col("other"))),
                   dst=N.ticker_node(F.when(fwd, F.col("other")).otherwise(F.col("ticker"))),
                   rel=S.REL_DOWNSTREAM, source="dart", origin=F.col("ticker"), asof=asof,
-                  weight=share / 100, product=F.substring("text", 1, 80), confidence=cfg.trade_confidence,
-                  evidence=F.substring(F.coalesce("quote", F.lit("")), 1, 150),
+                  weight=share / 100, product=F.col("text"), confidence=cfg.trade_confidence,
+                  evidence=F.coalesce("quote", F.lit("")),
                   pos=F.concat_ws("|", F.when(fwd, F.lit("0")).otherwise(F.lit("1")),
                                   F.lpad(F.col("pos").cast("string"), 8, "0")))
     return out, unlisted
@@ -219,24 +219,24 @@ def contract_edges(parsed: DataFrame, master: DataFrame, index: DataFrame, asof:
                                            money, F.lit("원"))).otherwise(head)
     out = R.edges(good, src=N.ticker_node(F.col("seller")), dst=N.ticker_node(F.col("buyer")),
                   rel=S.REL_DOWNSTREAM, source="contract", origin=F.col("seller"), asof=asof,
-                  weight=ratio, product=F.substring(p("product"), 1, 80), confidence=cfg.contract_confidence,
-                  evidence=F.substring(ev, 1, 150), pos=F.concat_ws("|", "rcept_dt", "rcept_no"))
+                  weight=ratio, product=p("product"), confidence=cfg.contract_confidence,
+                  evidence=ev, pos=F.concat_ws("|", "rcept_dt", "rcept_no"))
     return out, unlisted
 
 
 # ---- sections of reports ------------------------------------------------------------------
 
-def report_sections(reports: DataFrame, limit: int = S.MAX_REPORTS) -> DataFrame:
+def report_sections(reports: DataFrame) -> DataFrame:
     """Per company: the first of its best reports that has a business chapter, slimmed.
 
-    Annual before half-year before quarterly, newest first, at most ``limit`` candidates.
+    Annual before half-year before quarterly, newest first; every report of these kinds is tried.
     """
     kind = F.lit(None).cast("int")
     for i, name in reversed(list(enumerate(S.REPORT_PRIORITY))):
         kind = F.when(F.contains("report_nm", F.lit(name)), i).otherwise(kind)
     w = Window.partitionBy("corp_code").orderBy("kind", F.col("rcept_dt").desc(), "rcept_no")
     ranked = reports.withColumn("kind", kind).where(F.col("kind").isNotNull()).withColumn(
-        "rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+        "rank", F.row_number().over(w))
     read = ranked.withColumn("section", D.business_section(F.col("text"))).where(F.col("section") != "")
     first = read.groupBy("corp_code").agg(F.min_by(F.struct(
         "rcept_no", "report_nm", "rcept_dt", "rank", "section"), "rank").alias("r"))

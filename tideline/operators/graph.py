@@ -273,7 +273,7 @@ def profile_trades(profiles: DataFrame, resolved: DataFrame, master: DataFrame,
     out = edges(good, src=N.ticker_node(F.when(fwd, F.col("ticker")).otherwise(F.col("other"))),
                 dst=N.ticker_node(F.when(fwd, F.col("other")).otherwise(F.col("ticker"))),
                 rel=S.REL_DOWNSTREAM, source="profile", origin=F.col("ticker"), asof=asof,
-                confidence=cfg.profile_confidence, product=F.substring(F.col("products"), 1, 80),
+                confidence=cfg.profile_confidence, product=F.col("products"),
                 evidence=F.col("source"),
                 pos=F.concat_ws("|", F.when(fwd, F.lit("0")).otherwise(F.lit("1")), "other_name"))
     return out, bad
@@ -282,7 +282,7 @@ def profile_trades(profiles: DataFrame, resolved: DataFrame, master: DataFrame,
 def backfill_products(df: DataFrame, products: DataFrame) -> DataFrame:
     """Membership edges without a product take the profile's; a disclosed product stays."""
     p = products.select(N.ticker_node(F.col("ticker")).alias("src"),
-                        F.substring(F.col("products"), 1, 80).alias("_fill"))
+                        F.col("products").alias("_fill"))
     fill = (F.col("rel") == S.REL_MEMBER) & (F.coalesce("product", F.lit("")) == "")
     return df.join(p, "src", "left").withColumn(
         "product", F.when(fill, F.coalesce("_fill", "product")).otherwise(F.col("product"))

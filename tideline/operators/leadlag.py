@@ -243,7 +243,7 @@ def review_queue(scored: DataFrame, weak: float = CFG.weak_corr) -> DataFrame:
     """Edges that prices do not support, weakest first: a list to look at, not to delete."""
     return scored.where(F.abs("price_corr") < weak).select(
         "src", "dst", "rel", "source", "origin", "price_corr", "price_obs",
-        F.substring(F.coalesce("evidence", F.lit("")), 1, 120).alias("evidence")
+        F.coalesce("evidence", F.lit("")).alias("evidence")
     ).orderBy(F.abs("price_corr"), "src", "dst", "rel", "source", "origin")
 
 

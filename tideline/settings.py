@@ -167,7 +167,6 @@ DIGEST_BUDGET = 1200
 DIGEST_BLOCK_BUDGET = 900
 
 REPORT_PRIORITY = ("사업보고서", "반기보고서", "분기보고서")
-MAX_REPORTS = 4
 
 CONTRACT_FILING_NAMES = ("단일판매", "공급계약", "수주")
 CONTRACT_FIELDS = {
