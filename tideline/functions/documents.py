@@ -88,10 +88,18 @@ def business_section(text: Column) -> Column:
     return bind(best, lambda b: F.when(b["len"] >= S.MIN_SECTION_CHARS, b["section"]).otherwise(F.lit("")))
 
 
+#: A control character that markup can't hold; it marks where a text is cut.
+CUT = "\u0001"
+
+
 def subsections(section: Column) -> Column:
-    """ARRAY<STRUCT<title, body>>: the text cut before every numbered sub-heading."""
+    """ARRAY<STRUCT<title, body>>: the text cut before every numbered sub-heading.
+
+    A number alone on its line takes the next line as its title, even one with a number of its own:
+    headings are marked from left to right without overlap, then the text is cut at the marks.
+    """
     inner = S.SUBSECTION_LINE[1:]
-    pieces = F.split(section, f"(?Umd)(?=^{inner})")
+    pieces = F.split(F.regexp_replace(section, f"(?Umd)^{inner}", CUT + "$0"), CUT)
     titled = F.transform(pieces, lambda p: F.struct(
         strip_ws(F.regexp_extract(p, rf"(?Umd)\A{inner}", 1)).alias("title"), p.alias("body")))
     return F.filter(titled, lambda p: p["title"] != "")

@@ -246,10 +246,9 @@ def report_sections(reports: DataFrame) -> DataFrame:
         F.col("slim.text").alias("section"), F.col("slim.titles").alias("kept_sections"))
 
 
-def cut_to(sections: DataFrame, max_chars: int = 60000) -> DataFrame:
-    """Stored form of a section: a long one is cut and says so."""
-    return sections.withColumn("truncated", F.length("section") > max_chars).withColumn(
-        "section", F.substring("section", 1, max_chars))
+def mark_long(sections: DataFrame, max_chars: int = 60000) -> DataFrame:
+    """Sections whole, with ``is_long`` for those a reader with a limit of ``max_chars`` can't take at once."""
+    return sections.withColumn("is_long", F.length("section") > max_chars)
 
 
 def extraction_volume(sections: DataFrame) -> DataFrame:

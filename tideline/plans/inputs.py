@@ -119,17 +119,6 @@ def supplier_members(spark: SparkSession, sf_dir: str) -> DataFrame:
                     supplier_ticker("s_suppkey").alias("ticker")))
 
 
-def brand_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(industry, ticker): a brand belongs to a part type in which it sells above par.
-
-    Par is the brand's average revenue over part types; sums of cents keep the test exact.
-    """
-    t = brand_trades(spark, sf_dir).groupBy("ticker", "p_type").agg(F.sum("cents").alias("rev"))
-    par = t.groupBy("ticker").agg(F.sum("rev").alias("total"), F.count("*").alias("n_types"))
-    return (t.join(par, "ticker").where(F.col("rev") * F.col("n_types") >= F.col("total"))
-            .select(F.col("p_type").alias("industry"), "ticker"))
-
-
 @kept
 def factor_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(base_date, factor, close): monthly unit price per part type."""
