@@ -87,12 +87,6 @@ cte("brand_master", """
 cte("sm_members", f"""
     SELECT n_name AS industry, {S_TICKER} AS ticker
     FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
-cte("brand_rev", """
-    SELECT ticker, p_type, CAST(sum(cents) AS BIGINT) AS rev FROM brand_trades GROUP BY 1, 2""")
-cte("brand_members", """
-    SELECT p_type AS industry, ticker FROM brand_rev
-    JOIN (SELECT ticker, sum(rev) AS total, count(*) AS n_types FROM brand_rev GROUP BY 1) t
-    USING (ticker) WHERE rev * n_types >= total""")
 cte("factor_cells", """
     SELECT CAST(date_trunc('month', tday) AS DATE) AS base_date, p_type AS factor,
            sum(cents) / (sum(qty) * 100.0) AS close

@@ -5,7 +5,6 @@ Sub-packages
     functions  Column expressions (names, text, numbers, node ids) and two small Arrow helpers
     operators  DataFrame -> DataFrame jobs (signals, factors, lead/lag, graph, text jobs, scoring)
     plans      wiring of operators to concrete tables, and the named queries
-    streaming  left empty on purpose, see its docstring
 """
 
 __all__ = ["functions", "operators", "plans", "sources", "settings"]
