@@ -10,8 +10,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 import corpus_pipeline
-from tideline.llm import chat_format, common, contamination, language, line_spread, passages, pitman_yor, quality, queries, simhash, source_mix, topk
+from tideline.llm import chat_format, common, contamination, language, line_spread, passages, pitman_yor, quality, queries, simhash, source_mix, sql, topk
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -232,3 +233,10 @@ def test_stages_keep_columns_and_run(docs, spark):
 def test_folds_match_crc32(spark):
     got = spark.range(50).select("id", common.fold(F.col("id"), 7).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 7 for r in got)
+
+
+def test_queries_without_sql_are_the_learned_and_hashed_ones():
+    q, o = queries.all_queries(), sql.all_sql()
+    assert set(o) <= set(q) and len(q) == 10
+    assert set(q) - set(o) == {"op1_quality", "op2_lm_score", "op4_repeated_passages", "op5_language", "op8_simhash"}
+    assert corpus_pipeline.ORACLE_SQL is None and {*q, "pipeline"} <= set(entry_points.queries())
