@@ -41,22 +41,48 @@ def _cells(rows: DataFrame, *keys: str) -> DataFrame:
                       "volume", (F.col("cents") / 100.0).alias("value"))
 
 
+@kept
+def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_suppkey, base_date, cents, qty): lineitem summed once for supplier prices and caps."""
+    return (table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.trunc("l_shipdate", "MM").alias("base_date"))
+            .agg(F.sum(cents("l_extendedprice")).alias("cents"), F.sum("l_quantity").alias("qty")))
+
+
 @kept
 def supplier_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return _cells(li.select(supplier_ticker("l_suppkey").alias("ticker"),
-                            F.trunc("l_shipdate", "MM").alias("base_date"),
-                            cents("l_extendedprice").alias("cents"),
-                            F.col("l_quantity").alias("qty")), "base_date", "ticker")
+    return _cells(supplier_months(spark, sf_dir).withColumn("ticker", supplier_ticker("l_suppkey")), "base_date", "ticker")
 
 
+@kept
+def supplier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_suppkey, l_partkey, l_returnflag, cents, max_cents): what a supplier sold, summed before it meets part."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag",
+                                                   cents("l_extendedprice").alias("cents"))
+    return rows.groupBy("l_suppkey", "l_partkey", "l_returnflag").agg(F.sum("cents").alias("cents"),
+                                                                      F.max("cents").alias("max_cents"))
+
+
+@kept
+def supplier_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_suppkey, o_custkey, cents): who bought from whom; the one join of lineitem with orders."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", cents("l_extendedprice").alias("cents"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return (li.join(o, li.l_orderkey == o.o_orderkey).groupBy("l_suppkey", "o_custkey")
+            .agg(F.sum("cents").alias("cents")))
+
+
+@kept
 def brand_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    return (li.join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .select(brand_ticker().alias("ticker"), "p_type",
-                    F.to_date("l_shipdate").alias("day"),
-                    cents("l_extendedprice").alias("cents"), F.col("l_quantity").alias("qty")))
+    """(ticker, p_type, band, day, cents, qty): the one join of lineitem with part for brand prices.
+
+    Rows are bounded by brands x types x size bands x days, however large lineitem is.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("day"),
+                                                 cents("l_extendedprice").alias("cents"), "l_quantity")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", brand_ticker().alias("ticker"),
+                                               F.floor((F.col("p_size") - 1) / 10).alias("band"))
+    return (li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("ticker", "p_type", "band", "day")
+            .agg(F.sum("cents").alias("cents"), F.sum("l_quantity").alias("qty")))
 
 
 @kept
@@ -85,8 +111,7 @@ def brand_day_panel(spark: SparkSession, sf_dir: str, n_days: int | None = None)
 
 @kept
 def supplier_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return (li.groupBy("l_suppkey").agg(F.sum(cents("l_extendedprice")).alias("market_cap"))
+    return (supplier_months(spark, sf_dir).groupBy("l_suppkey").agg(F.sum("cents").alias("market_cap"))
             .select(supplier_ticker("l_suppkey").alias("ticker"), "market_cap"))
 
 
@@ -131,14 +156,11 @@ def factor_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @kept
 def nation_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(supplier_nation, customer_nation, cents): who sells to whom, summed once per pair."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_suppkey", cents("l_extendedprice").alias("cents"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    sold = supplier_customers(spark, sf_dir)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    keyed = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-             .join(s, li.l_suppkey == s.s_suppkey)
+    keyed = (sold.join(c, sold.o_custkey == c.c_custkey).join(s, sold.l_suppkey == s.s_suppkey)
              .groupBy("s_nationkey", "c_nationkey").agg(F.sum("cents").alias("cents")))
     sn = n.select(F.col("n_nationkey").alias("sk"), F.col("n_name").alias("supplier_nation"))
     cn = n.select(F.col("n_nationkey").alias("ck"), F.col("n_name").alias("customer_nation"))

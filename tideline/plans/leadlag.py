@@ -43,11 +43,8 @@ def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @kept
 def band_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(industry, ticker): part type x size band, brands that sell there above their par."""
-    li = I.table(spark, sf_dir, "lineitem").select("l_partkey", I.cents("l_extendedprice").alias("cents"))
-    part = I.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    t = li.join(part, li.l_partkey == part.p_partkey).select(
-        I.brand_ticker().alias("ticker"), F.concat_ws(" ", "p_type", F.floor(
-            (F.col("p_size") - 1) / 10).cast("string")).alias("industry"), "cents")
+    t = I.brand_trades(spark, sf_dir).select(
+        "ticker", F.concat_ws(" ", "p_type", F.col("band").cast("string")).alias("industry"), "cents")
     rev = t.groupBy("ticker", "industry").agg(F.sum("cents").alias("rev"))
     par = rev.groupBy("ticker").agg(F.sum("rev").alias("total"), F.count("*").alias("n"))
     return rev.join(par, "ticker").where(F.col("rev") * F.col("n") >= F.col("total")).select(

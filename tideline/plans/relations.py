@@ -79,10 +79,9 @@ def map_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @kept
 def disclosed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memberships that suppliers state themselves: their nation, with a product."""
-    li = I.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", I.cents(
-        "l_extendedprice").alias("cents"))
+    made = I.supplier_parts(spark, sf_dir)
     part = I.table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    sold = li.join(part, li.l_partkey == part.p_partkey).groupBy("l_suppkey", "p_name").agg(
+    sold = made.join(part, made.l_partkey == part.p_partkey).groupBy("l_suppkey", "p_name").agg(
         F.sum("cents").alias("cents"))
     best = sold.groupBy("l_suppkey").agg(
         F.min_by("p_name", F.struct((-F.col("cents")).alias("k"), "p_name")).alias("product"))
@@ -117,11 +116,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @kept
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per supplier: its two largest customers by name, as a customer and as a supplier."""
-    li = I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", I.cents(
-        "l_extendedprice").alias("cents"))
-    o = I.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    sums = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("l_suppkey", "o_custkey").agg(
-        F.sum("cents").alias("cents"))
+    sums = I.supplier_customers(spark, sf_dir)
     w = Window.partitionBy("l_suppkey").orderBy(F.col("cents").desc(), "o_custkey")
     top = sums.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
     name = F.concat(F.lit("Supplier#"), F.lpad(F.floor(F.col("o_custkey") / 10).cast("string"), 9, "0"))

@@ -14,6 +14,7 @@ from tideline.operators import signals as sig
 from tideline.operators.order_stats import with_pct_rank
 from tideline.plans import inputs as I
 from tideline.plans.registry import query, rounded
+from tideline.plans.shared import kept
 from tideline.runtime import shared_folder
 from tideline.sources import panel as P
 from tideline.sources.records import save_by_date
@@ -48,6 +49,7 @@ def raw_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", raw.alias("raw"))
 
 
+@kept
 def etf_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as listed products: monthly unit price per name."""
     li = I.table(spark, sf_dir, "lineitem")
