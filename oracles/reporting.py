@@ -24,7 +24,7 @@ cte("trade_rows", """
            rn::VARCHAR || other_name AS seq FROM profile_rows WHERE other IS NOT NULL AND other <> ticker
     UNION ALL SELECT 'T:' || CASE WHEN rn = 1 THEN ticker ELSE other END, 'T:' || CASE WHEN rn = 1 THEN other ELSE ticker END,
            what, round(weight, 4), 'dart', ticker, rn::VARCHAR FROM deal_hits WHERE other <> ticker
-    UNION ALL SELECT 'T:' || stock_code, 'T:' || buyer, product, sales_ratio, 'contract', stock_code,
+    UNION ALL SELECT 'T:' || stock_code, 'T:' || buyer, product, weight, 'contract', stock_code,
            rcept_dt || '|' || rcept_no FROM deals WHERE buyer IS NOT NULL AND buyer <> stock_code""")
 cte("trades", """
     SELECT * FROM trade_rows

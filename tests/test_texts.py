@@ -83,23 +83,23 @@ def test_quotes_must_be_in_the_source(spark, quote, ok):
 
 
 @pytest.mark.parametrize("name,text,ok", [
-    ("한국공항", "한국공항공사 협약 공시", False), ("한국공항", "한국공항은 공시했다", True), ("오로라", "오로라 골프 대회 수주", True),
-    ("오로라", "오로라농장 실적", False), ("오로라", "신제품 오로라", True), ("A.B(주)", "AxB(주) 공시", False), ("A.B(주)", "A.B(주) 공시", True)])
+    ("푸른솔", "푸른솔유치원 협약 공시", False), ("푸른솔", "푸른솔은 공시했다", True), ("물결", "물결 사진 동호회 수주", True),
+    ("물결", "물결마을 실적", False), ("물결", "신제품 물결", True), ("A.B(주)", "AxB(주) 공시", False), ("A.B(주)", "A.B(주) 공시", True)])
 def test_name_boundaries(spark, name, text, ok):
     df = spark.createDataFrame([(name, text)], "n string, t string")
     assert df.select(D.mentions_company(F.col("n"), F.col("t")).alias("o")).first()["o"] is ok
 
 
 def test_contract_form(spark):
-    form = ("단일판매ㆍ공급계약 체결\n1. 판매ㆍ공급계약 내용 초저온 보냉자재\n2. 계약내역 계약금액(원) 97,970,240,000\n"
-            "최근매출액(2019년) 212,000,000,000\n매출액대비(%) 46.21\n3. 계약상대 삼성전자(주)\n4. 판매·공급지역 대한민국\n"
-            "5. 계약기간 시작일 2022-11-01\n종료일 2026.7.9\n6. 주요 계약조건 -")
+    form = ("수주 내역 안내\n가) 계약상대방: 새벽기계(주)\n나) 판매·공급 지역: 제주\n다) 공급 품목: 풍력 날개 (단위: 기)\n"
+            "이행 시작일: 2021/03/04, 이행 종료일: 2024년 5월 6일\n라) 최근 매출액: 2019년 300,000,000,000원\n"
+            "마) 계약 금액: 61,500,000,000원\n바) 매출액 대비 (%) 20.5")
     got = one(spark, form, parse_contract).asDict()
-    assert got == {"counterparty": "삼성전자(주)", "product": "초저온 보냉자재", "amount": 97_970_240_000.0,
-                   "recent_sales": 212_000_000_000.0, "sales_ratio": 0.4621, "begin": "20221101", "end": "20260709",
-                   "region": "대한민국"}
-    line = one(spark, "계약기간 2022-11-01 ~ 2026-07-29\n계약상대 상기 8. 공시유보 참조", parse_contract)
-    assert (line["begin"], line["end"], line["counterparty"], line["amount"]) == ("20221101", "20260729", "", None)
+    assert got == {"counterparty": "새벽기계(주)", "product": "풍력 날개", "amount": 61_500_000_000.0,
+                   "recent_sales": 300_000_000_000.0, "sales_ratio": 0.205, "begin": "20210304", "end": "20240506",
+                   "region": "제주"}
+    line = one(spark, "계약 상대: 해당사항 없음\n계약 기간: 2020.1.2부터 2023년 4월 5일", parse_contract)
+    assert (line["begin"], line["end"], line["counterparty"], line["amount"]) == ("20200102", "20230405", "", None)
     assert one(spark, "매출액대비 20000%", parse_contract)["sales_ratio"] is None
 
 
@@ -156,15 +156,15 @@ def test_counterparties_come_from_the_customer_text_only(spark):
 
 
 def test_news_quota_counts_only_what_was_looked_at(spark):
-    item = lambda i, title: ("오로라", title, "", f"{i:03d}", f"2024-01-{20 - i:02d} 00:00:00")
-    rows = [item(1, "오로라 수주"), item(2, "오로라농장 수주"), item(3, "오로라 계약"), item(4, "오로라 실적"), item(19, "오로라 공시"),
+    item = lambda i, title: ("물결", title, "", f"{i:03d}", f"2024-01-{20 - i:02d} 00:00:00")
+    rows = [item(1, "물결 수주"), item(2, "물결마을 수주"), item(3, "물결 계약"), item(4, "물결 실적"), item(19, "물결 공시"),
             ("없음", "없음공사", "", "1", "2024-01-19 00:00:00")]
     df = spark.createDataFrame(rows, "name string, title string, description string, link string, ts string").withColumn(
         "ts", F.col("ts").cast("timestamp_ntz"))
     s = W.scored_news(df, "2024-01-21")
     assert [r["link"] for r in W.news_quota(s, 2).orderBy("rank").collect()] == ["001", "003"]
     st = {r["name"]: (r["raw"], r["kept"], r["all_noise"]) for r in W.news_stats(s, 2).collect()}
-    assert st == {"오로라": (3, 2, False), "없음": (1, 0, True)}
+    assert st == {"물결": (3, 2, False), "없음": (1, 0, True)}
 
 
 def test_report_choice_falls_through_to_the_next_candidate(spark):
