@@ -116,6 +116,26 @@ def test_passages(docs):
     assert p >= passages.RECALL
 
 
+def test_short_and_edited_passages(docs):
+    """51-word passages inside unlike texts: whole if equal; with one word changed, whole but for tails without a five-word run."""
+    rows, want = [], {}
+    for k in range(60):
+        shared = words(51, 9000 + k).split()
+        edited = list(shared)
+        if k % 2:
+            edited[5 + k % 41] = "zzzzz"
+        front = 10 + k
+        rows += [(k, f"{words(40, k)} {' '.join(shared)} {words(30, 1000 + k)}", "s", "en", "x"), (500 + k, f"{words(front, 2000 + k)} {' '.join(edited)} {words(30, 3000 + k)}", "s", "en", "x")]
+        want[500 + k] = (front, 51)
+    got = {r.doc_id: r for r in passages.repeated_passages(docs(rows)).where("removed").collect()}
+    assert {d: (r.start, r.words) for d, r in got.items()} == want
+    assert all(r.first_doc_id == d - 500 for d, r in got.items())
+    cleaned = {r.doc_id: r.text for r in passages.without_repeats(docs(rows)).collect()}
+    assert all(cleaned[500 + k] == f"{words(10 + k, 2000 + k)} {words(30, 3000 + k)}" and cleaned[k] == rows[2 * k][1] for k in range(60))
+    twice = "a b " * 40
+    assert passages.without_repeats(docs([(1, twice.strip(), "s", "en", "x")])).first().text.split() == twice.split()[:20]
+
+
 def test_language(docs, spark):
     rows = docs(ODD).select("doc_id", "text", "lang").withColumn("letters", language.has_letter(F.col("text")))
     model = language.learn(rows)
