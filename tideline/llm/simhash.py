@@ -93,7 +93,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
-    """Adds component_id, the smallest doc_id reachable over links, to rows (doc_id, fp, ...).
+    """Adds component_id, the smallest doc_id reachable over links, and label, the component's smallest fingerprint, to rows (doc_id, fp, ...).
 
     Equal fingerprints (all empty texts among them) are one group. Null doc_ids never name a group
     that has another id. `rows` should be a written table: it is read several times.
@@ -102,11 +102,11 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     comps = staged(components(links(groups.select("fp"))), "components")
     named = groups.join(comps.select(F.col("node").alias("fp"), "label"), "fp")
     names = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    linked = named.join(names, "label").select("fp", "component_id")
-    alone = groups.join(linked.select("fp"), "fp", "left_anti").where("n > 1").select("fp", F.col("low").alias("component_id"))
+    linked = named.join(names, "label").select("fp", "component_id", "label")
+    alone = groups.join(linked.select("fp"), "fp", "left_anti").where("n > 1").select("fp", F.col("low").alias("component_id"), F.col("fp").alias("label"))
     table = staged(linked.withColumn("in_group", F.lit(True)).union(alone.withColumn("in_group", F.lit(True))), "groups")
     out = looked_up(rows, table, ["fp"])
-    return out.withColumn("component_id", F.when(F.col("in_group"), F.col("component_id")).otherwise(F.col("doc_id"))).drop("in_group")
+    return out.withColumns({"component_id": F.when(F.col("in_group"), F.col("component_id")).otherwise(F.col("doc_id")), "label": F.coalesce("label", "fp")}).drop("in_group")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -117,12 +117,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key(F.col("doc_id")).alias("id"), text_key(F.col("text")).alias("txt"), "text")
     rows = staged(fingerprints(keyed, "doc_id", "id", "txt"), "fp")
-    grouped = staged(near_duplicates(rows).select("doc_id", "id", "txt", "fp", "component_id"), "grouped")
-    # a group without any id is told apart by its fingerprint's component; within one fingerprint null names are one group
-    low = grouped.where("component_id is not null and doc_id = component_id").groupBy("component_id").agg(F.min("txt").alias("txt"))
-    kept = low.select(F.col("component_id").cast("string").alias("id"), "txt")
-    nameless = grouped.where("component_id is null").groupBy("fp").agg(F.min("txt").alias("txt")).select(F.lit("-").alias("id"), "txt")
-    kept = kept.union(nameless).withColumn("keep", F.lit(True))
+    grouped = staged(near_duplicates(rows).select("doc_id", "id", "txt", "component_id", "label"), "grouped")
+    # a doc_id may name several groups, and a group may have no id: each is told apart by its smallest fingerprint
+    low = grouped.where("doc_id <=> component_id").groupBy("label").agg(F.first("id").alias("id"), F.min("txt").alias("txt"))
+    kept = low.select("id", "txt").distinct().withColumn("keep", F.lit(True))
     # most documents are alone: only those that go, and those with repeated rows, are looked up
     keys = grouped.groupBy("id", "txt").agg(F.count("*").alias("copies")).join(kept, ["id", "txt"], "left")
     odd = staged(keys.where("keep is null or copies > 1").select(F.col("id").alias("__id"), F.col("txt").alias("__text"), F.col("keep").alias("__keep"), F.col("copies").alias("__copies")), "odd")
