@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat_format, contamination, language, line_spread, passages, pitman_yor, quality, simhash, source_mix, topk
+from tideline.llm import chat_format, contamination, language, line_spread, passages, pitman_yor, quality, simhash, source_mix, topk, vector_codes
 from tideline.llm.common import fold, id_key, looked_up, staged, table, text_key
 
 
@@ -65,8 +65,18 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all usable embeddings; null or non-finite vectors have no row, an empty table gives none.
+
+    Null labels share one label_error, repeated rows count each, ties of distance go to the lower entry.
+    """
+    rows, book = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(rows).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(book)).alias("codebooks_sha256"))
+
+
 def all_queries():
-    return {f.__name__: f for f in (op1_quality, op2_lm_score, op3_source_mix, op4_repeated_passages, op5_language, op6_contamination, op7_chat_format, op8_simhash, op9_topk, op10_line_spread)}
+    return {f.__name__: f for f in (op1_quality, op2_lm_score, op3_source_mix, op4_repeated_passages, op5_language, op6_contamination, op7_chat_format, op8_simhash, op9_topk, op10_line_spread,
+                                    op13_vector_codes)}
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

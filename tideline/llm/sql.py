@@ -106,6 +106,33 @@ g AS (
 SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, gone AS n_removed, length(cleaned) AS kept_chars, md5(cleaned) AS kept_md5 FROM o
 """
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _vector_codes(rounds: int = 6) -> str:
+    """The rounds one after the other: a<k> assigns every part, c<k> moves the entries."""
+    steps = [f"""
+k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_FINITE}),
+e AS MATERIALIZED (SELECT vec_id, d // (w // 8) AS part, d % (w // 8) AS pos, x FROM (SELECT vec_id, len(v) AS w, unnest(range(0, len(v))) AS d, unnest(v) AS x FROM k)),
+c0 AS MATERIALIZED (SELECT part, entry, pos, x FROM e JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 16) USING (vec_id))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, part, min(apart * 16 + entry) % 16 AS entry, min(apart) AS apart FROM (
+    SELECT e.vec_id, e.part, c.entry, sum((e.x - c.x) * (e.x - c.x))::BIGINT AS apart FROM e JOIN c{i} c USING (part, pos) GROUP BY e.vec_id, e.part, c.entry
+  ) GROUP BY vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, c.pos, coalesce((s - ((s % n + n) % n)) // n, c.x)::BIGINT AS x FROM c{i} c LEFT JOIN (
+    SELECT a.part, a.entry, e.pos, sum(e.x)::BIGINT AS s, count(*) AS n FROM a{i} a JOIN e ON a.vec_id = e.vec_id AND a.part = e.part GROUP BY a.part, a.entry, e.pos
+  ) m ON m.part = c.part AND m.entry = c.entry AND m.pos = c.pos)""")
+    return "WITH " + ",\n".join(steps) + f"""
+, o AS (SELECT vec_id, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(apart)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c{rounds}) AS codebooks_sha256
+FROM o JOIN k USING (vec_id)
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op3_source_mix": SOURCE_MIX, "op6_contamination": CONTAMINATION, "op7_chat_format": CHAT_FORMAT, "op9_topk": TOPK, "op10_line_spread": LINE_SPREAD}
+    return {"op3_source_mix": SOURCE_MIX, "op6_contamination": CONTAMINATION, "op7_chat_format": CHAT_FORMAT, "op9_topk": TOPK, "op10_line_spread": LINE_SPREAD,
+            "op13_vector_codes": _vector_codes()}
