@@ -270,6 +270,6 @@ def test_folds_match_crc32(spark):
 
 def test_queries_without_sql_are_the_learned_and_hashed_ones():
     q, o = queries.all_queries(), sql.all_sql()
-    assert set(o) <= set(q) and len(q) == 12
+    assert set(o) <= set(q) and len(q) == 13
     assert set(q) - set(o) == {"op1_quality", "op2_lm_score", "op4_repeated_passages", "op5_language", "op8_simhash"}
     assert corpus_pipeline.ORACLE_SQL is None and {*q, "pipeline"} <= set(entry_points.queries())

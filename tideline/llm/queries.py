@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat_format, contamination, language, line_spread, passages, phrases, pitman_yor, quality, simhash, source_mix, topk, vector_codes
+from tideline.llm import chat_format, contamination, language, line_spread, near_vectors, passages, phrases, pitman_yor, quality, simhash, source_mix, topk, vector_codes
 from tideline.llm.common import fold, id_key, looked_up, staged, table, text_key
 
 
@@ -65,6 +65,11 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 among all embeddings, whatever their labels; unusable vectors stay alone."""
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of each language over all documents; null langs are und, null texts empty."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
@@ -81,7 +86,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries():
     return {f.__name__: f for f in (op1_quality, op2_lm_score, op3_source_mix, op4_repeated_passages, op5_language, op6_contamination, op7_chat_format, op8_simhash, op9_topk, op10_line_spread,
-                                    op12_phrases, op13_vector_codes)}
+                                    op11_near_vectors, op12_phrases, op13_vector_codes)}
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

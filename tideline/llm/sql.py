@@ -106,6 +106,18 @@ g AS (
 SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, gone AS n_removed, length(cleaned) AS kept_chars, md5(cleaned) AS kept_md5 FROM o
 """
 
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), u AS (SELECT i, vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (
+  SELECT a.i, b.i AS j FROM u a JOIN u b ON a.i <> b.i AND len(a.v) = len(b.v)
+  WHERE list_sum(list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k])) / (a.size * b.size) >= 0.9
+), r AS (SELECT i, i AS j FROM v UNION SELECT r.i, l.j FROM r JOIN l ON l.i = r.j),
+c AS (SELECT r.i, min(v.vec_id) AS component_id FROM r JOIN v ON v.i = r.j GROUP BY r.i)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.i = v.i) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (i)
+"""
+
 PHRASES = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
@@ -161,4 +173,4 @@ FROM o JOIN k USING (vec_id)
 
 def all_sql() -> dict[str, str]:
     return {"op3_source_mix": SOURCE_MIX, "op6_contamination": CONTAMINATION, "op7_chat_format": CHAT_FORMAT, "op9_topk": TOPK, "op10_line_spread": LINE_SPREAD,
-            "op12_phrases": PHRASES, "op13_vector_codes": _vector_codes()}
+            "op11_near_vectors": NEAR_VECTORS, "op12_phrases": PHRASES, "op13_vector_codes": _vector_codes()}
