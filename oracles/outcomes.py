@@ -44,7 +44,7 @@ cte("bens_ann", """
     LEFT JOIN (SELECT * FROM gaps QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY gap DESC, grp) = 1) g
       ON g.ticker = m.ticker""")
 cte("reach_all", """
-    SELECT other AS ticker, via FROM reach JOIN cands USING (ticker)
+    SELECT other AS ticker, via FROM reach JOIN (SELECT ticker, pos FROM sm_screen WHERE pos <= 20) USING (ticker)
     QUALIFY row_number() OVER (PARTITION BY other ORDER BY pos, prio, via) = 1""")
 cte("bens_marked", """
     SELECT b.*, r.via, r.via IS NOT NULL AS graph_backed FROM bens_ann b LEFT JOIN reach_all r USING (ticker)
@@ -86,7 +86,7 @@ SQL = {
     "j11_provenance_stats": """
         SELECT shape, count(*) FILTER (graph_backed) AS graph_backed, count(*) AS total FROM bens_marked GROUP BY 1""",
     "j17_attach_membership": """
-        SELECT ticker, groups, industries FROM cands
+        SELECT ticker, groups, industries FROM sm_master
         LEFT JOIN (SELECT ticker, string_agg(grp, '|' ORDER BY grp) AS groups FROM grp_members GROUP BY 1) USING (ticker)
         LEFT JOIN (SELECT ticker, string_agg(industry, '|' ORDER BY industry) AS industries FROM mem GROUP BY 1)
         USING (ticker)""",

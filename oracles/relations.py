@@ -67,9 +67,6 @@ cte("horizontal_rows", f"""
 cte("every_edge", """
     SELECT * FROM map_edge_rows UNION ALL SELECT * FROM disclosed_rows
     UNION ALL SELECT * FROM horizontal_rows""")
-cte("cands", """
-    SELECT ticker, name, market_cap, row_number() OVER (ORDER BY market_cap DESC, ticker) AS pos
-    FROM sm_master WHERE market_cap IS NOT NULL ORDER BY market_cap DESC, ticker LIMIT 20""")
 cte("mem_edges", """
     SELECT substr(src, 3) AS ticker, substr(dst, 3) AS industry, confidence, source, origin
     FROM every_edge WHERE rel = '소속'""")
@@ -81,20 +78,18 @@ cte("vert", f"""
     FROM (SELECT m.ticker, m.industry AS from_industry, substr(v.dst, 3) AS industry,
                  v.rel AS relation, round(m.confidence * v.confidence, 3) AS conf, m.source AS s1,
                  m.origin AS o1, v.source AS s2, v.origin AS o2
-          FROM mem_edges m JOIN cands USING (ticker)
+          FROM mem_edges m
           JOIN every_edge v ON v.src = 'I:' || m.industry AND v.rel IN ('후방', '전방'))
     GROUP BY 1, 2, 3, 4""")
 cte("peer_rows", """
-    SELECT a.ticker, a.industry, b.ticker AS other FROM mem a JOIN cands USING (ticker)
-    JOIN mem b ON a.industry = b.industry AND a.ticker <> b.ticker""")
+    SELECT a.ticker, a.industry, b.ticker AS other FROM mem a JOIN mem b ON a.industry = b.industry AND a.ticker <> b.ticker""")
 cte("exposed", """
     SELECT substr(src, 3) AS ticker, substr(dst, 3) AS driver, sign, weight, source
     FROM every_edge WHERE rel = '노출'""")
 cte("co_rows", """
     SELECT a.ticker, a.driver, a.sign AS my_sign, a.weight AS my_weight, a.source, b.ticker AS other,
            b.sign, b.weight, b.source AS other_source
-    FROM exposed a JOIN cands USING (ticker)
-    JOIN exposed b ON a.driver = b.driver AND a.ticker <> b.ticker""")
+    FROM exposed a JOIN exposed b ON a.driver = b.driver AND a.ticker <> b.ticker""")
 cte("reach", """
     SELECT ticker, other, via, prio FROM (
         SELECT v.ticker, m.ticker AS other, from_industry || '→' || relation || '→' || v.industry AS via,
@@ -104,15 +99,25 @@ cte("reach", """
         UNION ALL SELECT ticker, other, '동인:' || driver, 3, 0 FROM co_rows)
     WHERE other <> ticker
     QUALIFY row_number() OVER (PARTITION BY ticker, other ORDER BY prio, k, via) = 1""")
-cte("cust_top", f"""
-    SELECT {SUPP} AS ticker, o_custkey,
-           row_number() OVER (PARTITION BY {SUPP} ORDER BY sum({CENTS}) DESC, o_custkey) AS rn
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 QUALIFY rn <= 2""")
-cte("profile_rows", """
-    SELECT c.ticker, rn, 'Supplier#' || lpad((o_custkey // 10)::VARCHAR, 9, '0') AS other_name,
-           'goods of ' || o_custkey AS products, m.ticker AS other
-    FROM cust_top c LEFT JOIN sm_master m
-      ON m.name = 'Supplier#' || lpad((o_custkey // 10)::VARCHAR, 9, '0')""")
+cte("classes", """
+    SELECT ticker, min(ticker) OVER (PARTITION BY marks) AS class_id FROM (
+        SELECT ticker, string_agg(DISTINCT mark, ';' ORDER BY mark) AS marks FROM (
+            SELECT ticker, industry || '|' || confidence::VARCHAR || '|' || source AS mark FROM mem_edges
+            UNION ALL SELECT ticker, driver FROM exposed) GROUP BY ticker)""")
+cte("lead", "SELECT ticker FROM classes WHERE ticker = class_id")
+cte("mem_size", "SELECT industry, count(*) AS n_members FROM mem GROUP BY 1")
+cte("driver_n", """
+    SELECT driver, count(DISTINCT ticker) FILTER (sign >= 0) AS n_same, count(DISTINCT ticker) FILTER (sign < 0) AS n_opposite
+    FROM exposed GROUP BY 1 HAVING count(DISTINCT ticker) > 1""")
+cte("shares", """
+    SELECT ticker, driver, source, my_sign, my_weight, count(*) FILTER (sign >= 0) AS n_same,
+           count(*) FILTER (sign < 0) AS n_opposite FROM co_rows GROUP BY ALL""")
+cte("profile_rows", f"""
+    SELECT c.ticker, CASE WHEN party % 2 = 0 THEN 1 ELSE 2 END AS rn, other_name, 'goods of ' || party AS products,
+           m.ticker AS other
+    FROM (SELECT DISTINCT {SUPP} AS ticker, o_custkey // 10 AS party,
+                 'Supplier#' || lpad((o_custkey // 10)::VARCHAR, 9, '0') AS other_name
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey) c LEFT JOIN sm_master m ON m.name = other_name""")
 cte("spoken", """
     SELECT p_partkey AS pos, CASE WHEN p_size < 10 THEN p_type || ' 산업'
         WHEN p_size < 20 THEN p_name || ' 제조업 부문'
@@ -204,26 +209,42 @@ SQL = {
         SELECT '산업:' || industry AS grp, ticker FROM mem
         QUALIFY count(*) OVER (PARTITION BY industry) >= 3""",
     "j5_vertical_2hop": """
-        SELECT ticker, from_industry, industry, confidence, source, sources, relation FROM vert""",
-    "j6_peers": "SELECT ticker, industry, other FROM peer_rows",
-    "j7_co_exposed": "SELECT * FROM co_rows",
+        SELECT 'path' AS part, ticker AS class_id, NULL::VARCHAR AS ticker, from_industry, industry, confidence, source,
+               sources, relation FROM vert JOIN lead USING (ticker)
+        UNION ALL SELECT 'member', class_id, ticker, NULL, NULL, NULL, NULL, NULL, NULL FROM classes""",
+    "j6_peers": """
+        SELECT 'industry' AS part, ticker AS class_id, NULL::VARCHAR AS ticker, industry,
+               1 + (SELECT count(*) FROM peer_rows p WHERE p.ticker = mem.ticker AND p.industry = mem.industry) AS n_members
+        FROM mem JOIN lead USING (ticker)
+        UNION ALL SELECT 'member', class_id, ticker, NULL, NULL FROM classes""",
+    "j7_co_exposed": "SELECT * FROM shares",
     "g10_subgraph": """
-        SELECT ticker, 'industry' AS part, industry AS via, NULL::VARCHAR AS other,
-               NULL::BIGINT AS sign, NULL::DOUBLE AS confidence FROM mem JOIN cands USING (ticker)
-        UNION ALL SELECT ticker, 'peer', industry, other, NULL, NULL FROM peer_rows
+        SELECT class_id, 'member' AS part, NULL::VARCHAR AS via, ticker, NULL::BIGINT AS sign, NULL::DOUBLE AS confidence,
+               NULL::BIGINT AS n FROM classes
+        UNION ALL SELECT ticker, 'industry', industry, NULL, NULL, NULL, n_members FROM mem JOIN lead USING (ticker)
+               JOIN mem_size USING (industry)
         UNION ALL SELECT v.ticker, CASE relation WHEN '후방' THEN 'upstream' ELSE 'downstream' END,
-               from_industry || '>' || v.industry, m.ticker, NULL, v.confidence
-        FROM vert v LEFT JOIN mem m ON m.industry = v.industry
-        UNION ALL SELECT DISTINCT ticker, 'driver', driver, other, sign, NULL FROM co_rows""",
-    "g5_reachability": "SELECT ticker, other, via FROM reach",
+               from_industry || '>' || v.industry, NULL, NULL, v.confidence, coalesce(n_members, 0)
+        FROM vert v JOIN lead USING (ticker) LEFT JOIN mem_size USING (industry)
+        UNION ALL SELECT ticker, 'driver', driver, NULL, sign, NULL, CASE sign WHEN 1 THEN n_same ELSE n_opposite END
+        FROM (SELECT DISTINCT ticker, driver FROM exposed) JOIN lead USING (ticker) JOIN driver_n USING (driver),
+             (SELECT unnest([1, -1])::BIGINT AS sign)""",
+    "g5_reachability": """
+        SELECT 'route' AS part, ticker AS class_id, NULL::VARCHAR AS ticker, kind, target, prio, via FROM (
+            SELECT ticker, 'I' AS kind, industry AS target, from_industry || '→' || relation || '→' || industry AS via,
+                   CASE relation WHEN '후방' THEN 0 ELSE 1 END AS prio, -confidence AS k FROM vert
+            UNION ALL SELECT ticker, 'I', industry, industry || '→동종', 2, 0 FROM mem
+            UNION ALL SELECT ticker, 'D', driver, '동인:' || driver, 3, 0 FROM exposed)
+        JOIN lead USING (ticker) QUALIFY row_number() OVER (PARTITION BY ticker, kind, target ORDER BY prio, k, via) = 1
+        UNION ALL SELECT 'member', class_id, ticker, NULL, NULL, NULL, NULL FROM classes""",
     "g5_reach_overall": """
-        SELECT other AS ticker, via FROM reach JOIN cands USING (ticker)
-        QUALIFY row_number() OVER (PARTITION BY other ORDER BY pos, prio, via) = 1""",
+        SELECT other AS ticker, via FROM reach JOIN sm_master USING (ticker)
+        QUALIFY row_number() OVER (PARTITION BY other ORDER BY market_cap DESC NULLS LAST, ticker, prio, via) = 1""",
     "j12_product_backfill": """
         SELECT e.src, e.dst, e.source, e.origin, CASE WHEN e.product = '' THEN coalesce(p.products, '')
                ELSE e.product END AS product
         FROM (SELECT * FROM map_edge_rows UNION ALL SELECT * FROM disclosed_rows) e
-        LEFT JOIN (SELECT ticker, products FROM profile_rows WHERE rn = 1) p ON e.src = 'T:' || p.ticker
+        LEFT JOIN (SELECT ticker, min(products) AS products FROM profile_rows WHERE rn = 1 GROUP BY 1) p ON e.src = 'T:' || p.ticker
         WHERE e.rel = '소속'""",
     "j13_preferred_inherit": """
         SELECT 'T:' || pref AS src, dst, 'preferred' AS source, common AS origin, confidence, product,

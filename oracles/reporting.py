@@ -23,7 +23,7 @@ cte("trade_rows", """
            products AS product, CAST(NULL AS DOUBLE) AS weight, 'profile' AS source, ticker AS origin,
            rn::VARCHAR || other_name AS seq FROM profile_rows WHERE other IS NOT NULL AND other <> ticker
     UNION ALL SELECT 'T:' || CASE WHEN rn = 1 THEN ticker ELSE other END, 'T:' || CASE WHEN rn = 1 THEN other ELSE ticker END,
-           what, round(weight, 4), 'dart', ticker, rn::VARCHAR FROM deal_hits WHERE other <> ticker
+           what, round(weight, 4), 'dart', ticker, rn::VARCHAR || lpad(num, 8, '0') FROM deal_hits WHERE other <> ticker
     UNION ALL SELECT 'T:' || stock_code, 'T:' || buyer, product, weight, 'contract', stock_code,
            rcept_dt || '|' || rcept_no FROM deals WHERE buyer IS NOT NULL AND buyer <> stock_code""")
 cte("trades", """
@@ -98,11 +98,9 @@ SQL = {
             FROM imem LEFT JOIN sm_master USING (ticker)) WHERE rank <= 8""",
     "t6_drivers_by_weight": """
         SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY abs(coalesce(my_weight, 0)) DESC, driver, source)
-               AS rank, driver, my_sign, my_weight, n_same, n_opposite FROM (
-            SELECT ticker, driver, source, my_sign, my_weight, count(*) FILTER (sign >= 0) AS n_same,
-                   count(*) FILTER (sign < 0) AS n_opposite FROM co_rows GROUP BY ALL) QUALIFY rank <= 6""",
+               AS rank, driver, my_sign, my_weight, n_same, n_opposite FROM shares QUALIFY rank <= 6""",
     "a21_kpi_row": f"""
-        SELECT (SELECT count(*) FROM cands) AS n_candidates, (SELECT count(*) FROM good_cases) AS n_ideas,
+        SELECT (SELECT count(*) FROM sm_screen) AS n_candidates, (SELECT count(*) FROM good_cases) AS n_ideas,
                {r('(SELECT greatest(coalesce(max(gap), 0), 0) FROM gaps)', 6)} AS max_gap,
                (SELECT count(DISTINCT grp) FROM gaps) AS n_groups, (SELECT count(*) FROM every_edge) AS n_edges,
                (SELECT count(*) FROM bens_marked WHERE graph_backed) AS graph_backed,

@@ -85,6 +85,7 @@ def _ranked(p: str, master: str) -> str:
     ORDER BY score DESC NULLS LAST, ticker LIMIT 30"""
 
 
+cte("sm_screen", _ranked("sm", "sm_master"))
 SQL = {
     "t11_analysis_quota": f"SELECT ticker, pos FROM ({_ranked('sm', 'sm_master')}) WHERE pos <= 20",
     "s1_snapshot_scan": f"""

@@ -124,11 +124,16 @@ def peers(df: DataFrame, tickers: DataFrame, min_confidence: float = 0.0) -> Dat
         F.col("other") != F.col("ticker")).select("ticker", "industry", "other")
 
 
-def co_exposed(df: DataFrame, tickers: DataFrame, min_confidence: float = 0.0) -> DataFrame:
-    """(ticker, driver, my_sign, my_weight, source, other, sign, weight, other_source)."""
-    ex = pick(df, S.REL_EXPOSURE, min_confidence).where(N.node_kind(F.col("dst")) == "D").select(
+def exposed(df: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+    """Exposure edges as (ticker, driver, sign, weight, source)."""
+    return pick(df, S.REL_EXPOSURE, min_confidence).where(N.node_kind(F.col("dst")) == "D").select(
         N.node_value(F.col("src")).alias("ticker"), N.node_value(F.col("dst")).alias("driver"),
         "sign", "weight", "source")
+
+
+def co_exposed(df: DataFrame, tickers: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+    """(ticker, driver, my_sign, my_weight, source, other, sign, weight, other_source)."""
+    ex = exposed(df, min_confidence)
     mine = ex.join(tickers.select("ticker"), "ticker", "left_semi").select(
         "ticker", "driver", F.col("sign").alias("my_sign"), F.col("weight").alias("my_weight"), "source")
     others = ex.select("driver", F.col("ticker").alias("other"), "sign", "weight",

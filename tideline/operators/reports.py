@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline import settings as S
 from tideline.functions import nodes as N
 from tideline.operators import graph as R
+from tideline.operators import quotient as Q
 
 CFG = S.GraphSettings()
 
@@ -76,12 +77,10 @@ def members_by_cap(members: DataFrame, master: DataFrame, key: list[str], limit:
     return top.join(size, key).withColumn("others", F.greatest(F.col("n") - limit, F.lit(0))).drop("n")
 
 
-def drivers_by_weight(co_exposed: DataFrame, limit: int = CFG.max_drivers) -> DataFrame:
-    """A ticker's strongest drivers that others share, with how many move with or against it."""
-    d = co_exposed.groupBy("ticker", "driver", "source", "my_sign", "my_weight").agg(
-        F.count_if(F.col("sign") >= 0).alias("n_same"), F.count_if(F.col("sign") < 0).alias("n_opposite"))
+def drivers_by_weight(shares: DataFrame, limit: int = CFG.max_drivers) -> DataFrame:
+    """A ticker's strongest drivers that others share (``quotient.driver_shares``), with how many move with or against it."""
     w = Window.partitionBy("ticker").orderBy(F.abs(F.coalesce("my_weight", F.lit(0.0))).desc(), "driver", "source")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return shares.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
 def search_index(edges: DataFrame, relation_origins: DataFrame, master: DataFrame) -> DataFrame:
@@ -115,62 +114,68 @@ def coverage_holes(map_rows: DataFrame, resolved: DataFrame, unmatched: DataFram
 
 # ---- neighbourhood text -------------------------------------------------------------------
 
-def _member_text(members: DataFrame, key: list[str], master: DataFrame, gaps: DataFrame, limit: int) -> DataFrame:
-    """(key, names): 'name(ticker) 갭+1.2%' of the largest members, then how many more."""
-    top = members_by_cap(members, master, key, limit).join(gaps.select("ticker", "gap"), "ticker", "left")
-    label = F.concat(F.coalesce(F.concat("name", F.lit("("), "ticker", F.lit(")")), "ticker"), F.coalesce(
-        F.format_string(" 갭%+.1f%%", F.col("gap") * 100), F.lit("")))
-    rows = top.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", label.alias("t")))).alias("s"),
-                                 F.max("others").alias("others"))
-    return rows.select(*key, F.concat(F.array_join("s.t", ", "), F.when(
-        F.col("others") > 0, F.concat(F.lit(" 외 "), F.col("others").cast("string"), F.lit("종목"))
-    ).otherwise("")).alias("names"))
+def _told(pattern: str, value: Column) -> Column:
+    """A formatted number; nothing where there is none (format_string would spell out the NULL)."""
+    return F.when(value.isNotNull(), F.format_string(pattern, value)).otherwise("")
 
 
+def _leaders(members: DataFrame, key: list[str], master: DataFrame, gaps: DataFrame, limit: int) -> DataFrame:
+    """(key, leaders, n): the largest members 'name(ticker) 갭+1.2%' of each key, one more than shown, and how many there are."""
+    top = members_by_cap(members, master, key, limit + 1).join(gaps.select("ticker", "gap"), "ticker", "left")
+    label = F.concat(F.coalesce(F.concat("name", F.lit("("), "ticker", F.lit(")")), "ticker"),
+                     _told(" 갭%+.1f%%", F.col("gap") * 100))
+    return top.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "ticker", label.alias("t")))).alias("leaders"),
+                                 (F.max("others") + F.count("*")).alias("n"))
+
+
+def _names(limit: int, without: Column | None = None, own: Column | int = 0) -> Column:
+    """Text of the leaders, ``without`` the asking ticker, which is ``own`` of the n members."""
+    shown = F.col("leaders") if without is None else F.filter("leaders", lambda x: x["ticker"] != without)
+    more = F.greatest(F.col("n") - own - limit, F.lit(0))
+    return F.concat(F.array_join(F.transform(F.slice(shown, 1, limit), lambda x: x["t"]), ", "), F.when(
+        more > 0, F.concat(F.lit(" 외 "), more.cast("string"), F.lit("종목"))).otherwise(""))
 
 
 def context_lines(edges: DataFrame, tickers: DataFrame, master: DataFrame, best: DataFrame,
                   cfg: S.GraphSettings = CFG) -> DataFrame:
-    """(ticker, part, key, line): lines of the neighbourhood text, in reading order of (part, key)."""
+    """(ticker, part, key, line): lines of the neighbourhood text, in reading order of (part, key).
+
+    Any number of tickers may ask: the leaders of an industry, or of one side of a driver, are found
+    once, and an asking ticker meets them per membership, never the other members.
+    """
     mem = R.members(edges, cfg.min_confidence)
-    own = mem.join(tickers.select("ticker"), "ticker", "left_semi").groupBy("ticker").agg(
-        F.sort_array(F.collect_set("industry")).alias("inds"))
+    mine = mem.join(tickers.select("ticker"), "ticker", "left_semi")
+    own = mine.groupBy("ticker").agg(F.sort_array(F.collect_set("industry")).alias("inds"))
     head = tickers.select("ticker").join(own, "ticker", "left").select(
         "ticker", F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.lit("### 소속 산업: "), F.coalesce(
             F.array_join("inds", ", "), F.lit("미분류 (밸류체인 맵에 없는 종목)"))).alias("line"))
-    peer = R.peers(edges, tickers, cfg.min_confidence).select(
-        F.col("ticker").alias("of"), "industry", F.col("other").alias("ticker"))
-    peer_lines = _member_text(peer, ["of", "industry"], master, best, cfg.max_members).select(
-        F.col("of").alias("ticker"), F.lit(1).alias("part"), F.col("industry").alias("key"),
-        F.concat(F.lit("**동종 — "), "industry", F.lit("** "), "names").alias("line"))
+    leaders = _leaders(mem, ["industry"], master, best, cfg.max_members)
+    peer_lines = mine.join(leaders.where("n > 1"), "industry").select(
+        "ticker", F.lit(1).alias("part"), F.col("industry").alias("key"),
+        F.concat(F.lit("**동종 — "), "industry", F.lit("** "), _names(cfg.max_members, F.col("ticker"), 1)).alias("line"))
     parts = [head, peer_lines]
     for part, rel in ((2, S.REL_UPSTREAM), (3, S.REL_DOWNSTREAM)):
-        v = R.vertical(edges, tickers, rel, cfg.min_confidence).withColumnRenamed("ticker", "of")
-        who = v.select("of", "from_industry", "industry").join(mem, "industry")
-        names = _member_text(who, ["of", "from_industry", "industry"], master, best, cfg.max_members)
-        j = v.join(names, ["of", "from_industry", "industry"], "left")
+        j = R.vertical(edges, tickers, rel, cfg.min_confidence).join(
+            leaders.select("industry", _names(cfg.max_members).alias("names")), "industry", "left")
         parts.append(j.select(
-            F.col("of").alias("ticker"), F.lit(part).alias("part"),
+            "ticker", F.lit(part).alias("part"),
             F.concat(F.format_string("%.3f", 1.0 - F.col("confidence")), F.lit("|"), "from_industry", F.lit("|"),
                      "industry").alias("key"),
             F.concat(F.lit(f"- {rel} "), "industry", F.format_string(" [신뢰 %.2f, ", "confidence"), "sources",
                      F.lit("] "), F.coalesce("names", F.lit("(상장 종목 미상)"))).alias("line")))
-    co = R.co_exposed(edges, tickers, cfg.min_confidence)
-    drv = drivers_by_weight(co, cfg.max_drivers)
-    for sign, title in ((1, "같은 방향"), (-1, "반대 방향")):
-        side = co.where(F.col("sign") >= 0 if sign > 0 else F.col("sign") < 0).join(
-            drv.select("ticker", "driver", "source", "rank"), ["ticker", "driver", "source"])
-        who = side.select(F.col("ticker").alias("of"), "driver", "rank", "my_sign", "my_weight",
-                          F.col("other").alias("ticker")).distinct()
-        keys = ["of", "driver", "rank", "my_sign", "my_weight"]
-        named = _member_text(who.withColumn("my_weight", F.coalesce("my_weight", F.lit(float("nan")))), keys, master,
-                             best, cfg.max_members)
-        beta = F.when(~F.isnan("my_weight"), F.format_string(" β%+.2f", "my_weight")).otherwise("")
-        parts.append(named.select(
-            F.col("of").alias("ticker"), F.lit(4).alias("part"),
-            F.concat(F.lpad(F.col("rank").cast("string"), 3, "0"), F.lit("a" if sign > 0 else "b")).alias("key"),
-            F.concat(F.lit("- "), "driver", F.format_string(" 부호 %+d", "my_sign"), beta, F.lit(f" {title}: "),
-                     "names").alias("line")))
+    ex = R.exposed(edges, cfg.min_confidence)
+    drv = drivers_by_weight(Q.driver_shares(edges, cfg.min_confidence).join(tickers.select("ticker"), "ticker", "left_semi"),
+                            cfg.max_drivers)
+    sided = ex.select("ticker", "driver", (F.col("sign") >= 0).alias("same")).where("same is not null").distinct()
+    sides = _leaders(sided, ["driver", "same"], master, best, cfg.max_members)
+    asked = drv.join(sides, "driver").join(sided.withColumn("own", F.lit(1)), ["ticker", "driver", "same"], "left").withColumn(
+        "own", F.coalesce("own", F.lit(0))).where(F.col("n") > F.col("own"))
+    parts.append(asked.select(
+        "ticker", F.lit(4).alias("part"),
+        F.concat(F.lpad(F.col("rank").cast("string"), 3, "0"), F.when(F.col("same"), "a").otherwise("b")).alias("key"),
+        F.concat(F.lit("- "), "driver", F.format_string(" 부호 %+d", "my_sign"), _told(" β%+.2f", F.col("my_weight")),
+                 F.when(F.col("same"), " 같은 방향: ").otherwise(" 반대 방향: "),
+                 _names(cfg.max_members, F.col("ticker"), F.col("own"))).alias("line")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -183,7 +188,7 @@ def horizontal_lines(membership: DataFrame, gaps: DataFrame, peers: DataFrame, e
     move = gaps.groupBy("grp").agg(F.max("group_move").alias("mv"))
     g = membership.join(move, "grp").select(
         "ticker", F.lit(5).alias("part"), F.col("grp").alias("key"),
-        F.concat(F.lit("- "), "grp", F.format_string(" — 그룹 최근 5일 %+.1f%%", F.col("mv") * 100)).alias("line"))
+        F.concat(F.lit("- "), "grp", _told(" — 그룹 최근 5일 %+.1f%%", F.col("mv") * 100)).alias("line"))
     p = peers.join(master.select("ticker", "name"), "ticker", "left").select(
         F.col("of").alias("ticker"), F.lit(5).alias("part"),
         F.concat("grp", F.lit("|"), F.lpad(F.col("rank").cast("string"), 3, "0")).alias("key"),
@@ -191,8 +196,8 @@ def horizontal_lines(membership: DataFrame, gaps: DataFrame, peers: DataFrame, e
             ") 갭 %+.1f%%", F.col("gap") * 100), F.when(F.col("unreacted"), "  ← 미반영").otherwise("")).alias("line"))
     e = exposures.join(membership.select("ticker").distinct(), "ticker", "left_semi").select(
         "ticker", F.lit(6).alias("part"), F.lpad(F.col("rank").cast("string"), 3, "0").alias("key"),
-        F.concat(F.lit("- "), "factor", F.format_string(": β %+.2f (상관 %+.2f)", "beta", "corr"), F.coalesce(
-            F.format_string(" / 팩터 최근 5일 %+.1f%%", F.col("ret5") * 100), F.lit(""))).alias("line"))
+        F.concat(F.lit("- "), "factor", F.format_string(": β %+.2f (상관 %+.2f)", "beta", "corr"),
+                                   _told(" / 팩터 최근 5일 %+.1f%%", F.col("ret5") * 100)).alias("line"))
     return reduce(DataFrame.unionByName, [g, p, e])
 
 

@@ -15,6 +15,7 @@ from tideline.operators import graph as R
 from tideline.operators import groups as G
 from tideline.operators import inference as V
 from tideline.operators import names as NM
+from tideline.operators import quotient as Cl
 from tideline.operators import scoring as K
 from tideline.operators import signals as sig
 from tideline.operators import factors as X
@@ -118,9 +119,16 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.annotate_priced_in(b, res, rets, X.best_gap(H.gaps(spark, sf_dir)))
 
 
+@kept
+def quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysed tickers in order: the first of the screen."""
+    top, _ = sig.screen(I.supplier_panel(spark, sf_dir), I.supplier_master(spark, sf_dir), SCREEN)
+    return top.where(F.col("pos") <= Q.CAND_LIMIT).select("ticker", "pos")
+
+
 @kept
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reach = R.reach_overall(R.reachability(Q.all_edges(spark, sf_dir), Q.candidates(spark, sf_dir)))
+    reach = Cl.first_reach(Q.routes(spark, sf_dir), Q.classes(spark, sf_dir), Q.targets(spark, sf_dir), quota(spark, sf_dir))
     return V.with_provenance(annotated(spark, sf_dir), reach)
 
 
@@ -196,7 +204,7 @@ def j11_stats(spark, sf_dir):
 
 @query("j17_attach_membership")
 def j17(spark, sf_dir):
-    t = Q.candidates(spark, sf_dir).select("ticker")
+    t = I.supplier_master(spark, sf_dir).select("ticker")
     g = G.inverse_membership(H.groups(spark, sf_dir))
     out = t.join(g, "ticker", "left").join(R.industry_names(Q.all_edges(spark, sf_dir)), "ticker", "left")
     return out.select("ticker", F.array_join("groups", "|").alias("groups"),
@@ -206,8 +214,7 @@ def j17(spark, sf_dir):
 @query("t11_analysis_quota")
 def t11(spark, sf_dir):
     """The first of the screen, in its order."""
-    top, _ = sig.screen(I.supplier_panel(spark, sf_dir), I.supplier_master(spark, sf_dir), SCREEN)
-    return top.where(F.col("pos") <= Q.CAND_LIMIT).select("ticker", "pos")
+    return quota(spark, sf_dir)
 
 
 @query("s13_edges_jsonl")

@@ -7,13 +7,14 @@ sell to it above par, each with its largest supplier.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline import settings as S
 from tideline.functions import nodes as N
 from tideline.functions.names import normalize_industry, normalize_name
 from tideline.operators import graph as R
+from tideline.operators import quotient as Cl
 from tideline.operators import groups as G
 from tideline.operators import names as NM
 from tideline.plans import horizontal as H
@@ -105,26 +106,41 @@ def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @kept
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The analysed tickers: the largest caps, in order (a report-size limit)."""
-    top = I.supplier_master(spark, sf_dir).where("market_cap is not null").orderBy(
-        F.col("market_cap").desc(), "ticker").limit(CAND_LIMIT)
-    return top.select("ticker", "name", "market_cap", F.row_number().over(
-        Window.orderBy(F.col("market_cap").desc(), "ticker")).alias("pos"))
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Cl.classes(all_edges(spark, sf_dir))
+
+
+@kept
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Cl.targets(all_edges(spark, sf_dir))
+
+
+@kept
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Cl.routes(all_edges(spark, sf_dir), classes(spark, sf_dir))
+
+
+def by_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, pos): all tickers, larger caps first, those without one last."""
+    m = I.supplier_master(spark, sf_dir)
+    return m.select("ticker", F.coalesce(-F.col("market_cap"), F.lit(1)).alias("pos"))
+
+
+def with_members(found: DataFrame, cls: DataFrame) -> DataFrame:
+    """Rows per class, and ``member`` rows that name the tickers of every class."""
+    return found.unionByName(cls.select(F.lit("member").alias("part"), "class_id", "ticker"), allowMissingColumns=True)
 
 
 @kept
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per supplier: its two largest customers by name, as a customer and as a supplier."""
-    sums = I.supplier_customers(spark, sf_dir)
-    w = Window.partitionBy("l_suppkey").orderBy(F.col("cents").desc(), "o_custkey")
-    top = sums.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
-    name = F.concat(F.lit("Supplier#"), F.lpad(F.floor(F.col("o_custkey") / 10).cast("string"), 9, "0"))
-    return top.select(I.supplier_ticker("l_suppkey").alias("ticker"),
-                      F.when(F.col("rn") == 1, "customers").otherwise("suppliers").alias("side"),
-                      name.alias("other_name"),
-                      F.concat(F.lit("goods of "), F.col("o_custkey").cast("string")).alias("products"),
-                      F.lit("handbook").alias("source"))
+    """All customers of every supplier by name (ten customers share one): even ones buy, odd ones supply."""
+    party = F.floor(F.col("o_custkey") / 10).alias("party")
+    each = I.supplier_customers(spark, sf_dir).select("l_suppkey", party).distinct()
+    return each.select(I.supplier_ticker("l_suppkey").alias("ticker"),
+                       F.when(F.col("party") % 2 == 0, "customers").otherwise("suppliers").alias("side"),
+                       F.concat(F.lit("Supplier#"), F.lpad(F.col("party").cast("string"), 9, "0")).alias("other_name"),
+                       F.concat(F.lit("goods of "), F.col("party").cast("string")).alias("products"),
+                       F.lit("handbook").alias("source"))
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -241,40 +257,44 @@ def f6(spark, sf_dir):
 
 @query("j5_vertical_2hop")
 def j5(spark, sf_dir):
-    e, t = all_edges(spark, sf_dir), candidates(spark, sf_dir)
-    return R.vertical(e, t, S.REL_UPSTREAM).unionByName(R.vertical(e, t, S.REL_DOWNSTREAM)).drop(
-        "evidence")
+    """Two-hop paths of every class of tickers, and the tickers of every class."""
+    e, c = all_edges(spark, sf_dir), classes(spark, sf_dir)
+    return with_members(Cl.class_paths(e, c).drop("evidence").withColumn("part", F.lit("path")), c)
 
 
 @query("j6_peers")
 def j6(spark, sf_dir):
-    return R.peers(all_edges(spark, sf_dir), candidates(spark, sf_dir))
+    """The industries whose members are peers of a class, and the tickers of every class."""
+    e, c = all_edges(spark, sf_dir), classes(spark, sf_dir)
+    return with_members(Cl.class_industries(e, c).withColumn("part", F.lit("industry")), c)
 
 
 @query("j7_co_exposed")
 def j7(spark, sf_dir):
-    return R.co_exposed(all_edges(spark, sf_dir), candidates(spark, sf_dir))
+    """Every exposure that other tickers share, with how many of them move with or against the driver."""
+    return Cl.driver_shares(all_edges(spark, sf_dir))
 
 
 @query("g10_subgraph")
 def g10(spark, sf_dir):
-    return R.subgraph(all_edges(spark, sf_dir), candidates(spark, sf_dir))
+    return Cl.neighbourhood(all_edges(spark, sf_dir), classes(spark, sf_dir))
 
 
 @query("g5_reachability")
 def g5(spark, sf_dir):
-    reach = R.reachability(all_edges(spark, sf_dir), candidates(spark, sf_dir))
-    return reach.select("ticker", "other", "via")
+    """Under which label a class reaches the members of an industry or driver, and the tickers of every class."""
+    found = routes(spark, sf_dir).select("class_id", "kind", "target", "prio", "via", F.lit("route").alias("part"))
+    return with_members(found, classes(spark, sf_dir))
 
 
 @query("g5_reach_overall")
 def g5_overall(spark, sf_dir):
-    return R.reach_overall(R.reachability(all_edges(spark, sf_dir), candidates(spark, sf_dir)))
+    return Cl.first_reach(routes(spark, sf_dir), classes(spark, sf_dir), targets(spark, sf_dir), by_cap(spark, sf_dir))
 
 
 @query("j12_product_backfill")
 def j12(spark, sf_dir):
-    p = profiles(spark, sf_dir).where("side = 'customers'").select("ticker", "products")
+    p = profiles(spark, sf_dir).where("side = 'customers'").groupBy("ticker").agg(F.min("products").alias("products"))
     e = R.backfill_products(R.merge(map_edges(spark, sf_dir), disclosed_edges(spark, sf_dir)), p)
     return e.where(F.col("rel") == S.REL_MEMBER).select("src", "dst", "source", "origin", "product")
 

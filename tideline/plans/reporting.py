@@ -13,13 +13,16 @@ from tideline.operators import chains as Ch
 from tideline.operators import disclosures as D
 from tideline.operators import factors as X
 from tideline.operators import graph as R
+from tideline.operators import quotient as Cl
 from tideline.operators import reports as T
+from tideline.operators import signals as sig
 from tideline.plans import horizontal as H
 from tideline.plans import inputs as I
 from tideline.plans import outcomes as O
 from tideline.plans import relations as Q
 from tideline.plans import texts as W
 from tideline.plans.registry import query, rounded
+from tideline.plans.screening import SCREEN
 from tideline.plans.shared import kept
 
 
@@ -151,14 +154,14 @@ def t5(spark, sf_dir):
 
 @query("t6_drivers_by_weight")
 def t6(spark, sf_dir):
-    co = R.co_exposed(Q.all_edges(spark, sf_dir), Q.candidates(spark, sf_dir))
-    return T.drivers_by_weight(co).select("ticker", "rank", "driver", "my_sign", "my_weight", "n_same", "n_opposite")
+    return T.drivers_by_weight(Cl.driver_shares(Q.all_edges(spark, sf_dir))).select("ticker", "rank", "driver", "my_sign", "my_weight", "n_same", "n_opposite")
 
 
 @query("a21_kpi_row")
 def a21(spark, sf_dir):
     ideas = O.cases(spark, sf_dir).select(F.explode("synthesis.ideas").alias("i"))
-    out = T.kpi_row(Q.candidates(spark, sf_dir), ideas, H.gaps(spark, sf_dir), Q.all_edges(spark, sf_dir),
+    top, _ = sig.screen(I.supplier_panel(spark, sf_dir), I.supplier_master(spark, sf_dir), SCREEN)
+    out = T.kpi_row(top, ideas, H.gaps(spark, sf_dir), Q.all_edges(spark, sf_dir),
                     O.marked(spark, sf_dir))
     return rounded(out, 6, "max_gap")
 
@@ -171,8 +174,9 @@ def a22(spark, sf_dir):
 
 @query("c24_context_text")
 def c24(spark, sf_dir):
-    """The text handed to an analyst per candidate: neighbourhood, groups, lagging peers, factors."""
-    e, t, m = Q.all_edges(spark, sf_dir), Q.candidates(spark, sf_dir), I.supplier_master(spark, sf_dir)
+    """The text handed to an analyst per ticker: neighbourhood, groups, lagging peers, factors."""
+    e, m = Q.all_edges(spark, sf_dir), I.supplier_master(spark, sf_dir)
+    t = m.select("ticker")
     gaps = H.gaps(spark, sf_dir)
     mine = H.groups(spark, sf_dir).join(t.select("ticker"), "ticker", "left_semi")
     ranked = X.ranked_exposures(H.exposures(spark, sf_dir), H.moves(spark, sf_dir))
