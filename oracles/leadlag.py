@@ -111,7 +111,7 @@ cte("cycles2", """
 SQL = {
     "a8_residualize": f"SELECT name, dt_idx, {r('ret', 8)} AS ret FROM nat_series",
     "a9_lag_corr": f"SELECT a, b, lag, n, {r('corr', 7)} AS corr FROM nat_lags WHERE n >= 60",
-    "j8_lagged_self_join": "SELECT a, b, lag, n FROM nat_lags",
+    "j8_lagged_self_join": f"SELECT a, b, lag, n, CASE WHEN NOT isnan(corr) THEN {r('corr', 7)} END AS corr FROM nat_lags",
     "w10_best_lag": f"SELECT a, b, lag, {r('corr', 7)} AS corr, n FROM nat_best",
     "c18_corr_t": f"""
         SELECT src, dst, {r('abs(price_corr) * sqrt(price_obs - 2) / sqrt(1 - price_corr ** 2)', 7)} AS t

@@ -106,3 +106,28 @@ def test_scoring_adds_no_edges(spark, world):
                               "src string, dst string, rel string")
     rows = {(r["src"], r["dst"]): r["price_lag"] for r in L.score_edges(e, world[1]).collect()}
     assert rows == {("I:ships", "I:parts"): 5, ("I:ships", "I:nowhere"): None, ("T:1", "I:ships"): None}
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_profiles_equal_pair_by_pair_correlations(spark, monkeypatch, squeeze):
+    monkeypatch.setattr(L, "CELLS", 500)
+    rng = np.random.default_rng(4)
+    cols = {f"s{k}": np.where(rng.random(70) < 0.3, np.nan, 5.0 + rng.normal(size=70)) for k in range(6)}
+    cols["flat"], cols["short"] = np.full(70, 0.1), np.r_[np.full(60, np.nan), rng.normal(size=10)]
+    cols["gone"] = np.where(np.arange(70) % 7 == 3, 1.0 + rng.normal(size=70), np.nan)
+    pairs = spark.createDataFrame([(a, b, "kept") for a in cols for b in cols if a < b], "a string, b string, note string")
+    rows = L.pair_profiles(pairs, L.pack(series(spark, cols)), 12, squeeze).collect()
+    assert len(rows) == 36 and {r["note"] for r in rows} == {"kept"}
+    for row in rows:
+        a, b = cols[row["a"]], cols[row["b"]]
+        either = np.flatnonzero(~(np.isnan(a) & np.isnan(b)))
+        a, b = (a[either], b[either]) if squeeze else (a[either[0]:either[-1] + 1], b[either[0]:either[-1] + 1])
+        assert [p["lag"] for p in row["profile"]] == list(range(-min(12, len(a) - 1), min(12, len(a) - 1) + 1))
+        for p in row["profile"]:
+            x, y = (a[:len(a) - p["lag"]], b[p["lag"]:]) if p["lag"] >= 0 else (a[-p["lag"]:], b[:p["lag"]])
+            ok = ~(np.isnan(x) | np.isnan(y))
+            assert p["n"] == ok.sum()
+            if ok.sum() < 2 or np.ptp(x[ok]) == 0 or np.ptp(y[ok]) == 0:
+                assert p["corr"] is None
+            else:
+                assert p["corr"] == pytest.approx(np.corrcoef(x[ok], y[ok])[0, 1], abs=1e-9)

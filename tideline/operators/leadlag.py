@@ -1,8 +1,9 @@
 """Residual series and their lead/lag correlations. Prices score relations, never create them.
 
 A series is packed into one row (positions and values, bounded by calendar length). A pair of
-series then travels as two short arrays, and an Arrow function returns the correlation at each lag;
-selection of the best lag is a Column expression. Relations bring their pairs with them; the search
+series then travels as two short arrays; the pairs of an Arrow batch are stacked as matrices with
+masks, and the moments of all pairs at all lags are six products. Selection of the best lag is a
+Column expression. Relations bring their pairs with them; the search
 over unrelated pairs multiplies blocks of series, so that only pairs above the threshold ever
 become rows.
 """
@@ -11,14 +12,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline import settings as S
 from tideline.functions import nodes as N
 from tideline.functions.numbers import corr_t
 
 CFG = S.LagSettings()
+#: Positions of a matrix of series that are multiplied at a time.
+CELLS = 1 << 20
 PROFILE = "array<struct<lag:int,n:int,corr:double>>"
 
 
@@ -84,50 +89,103 @@ def _dense(idx, val, lo: int, hi: int) -> np.ndarray:
     return out
 
 
-def _lag_stats(a: np.ndarray, b: np.ndarray, lag: int) -> tuple[int, float]:
-    """Joint observations and correlation of a[t - lag] with b[t]."""
-    x, y = (a[:len(a) - lag], b[lag:]) if lag >= 0 else (a[-lag:], b[:len(b) + lag])
-    ok = ~(np.isnan(x) | np.isnan(y))
-    n = int(ok.sum())
-    if n < 2:
-        return n, np.nan
-    x, y = x[ok] - x[ok].mean(), y[ok] - y[ok].mean()
-    scale = np.sqrt((x @ x) * (y @ y))
-    return n, float(x @ y / scale) if scale > 0 else np.nan
-
-
-def lag_profile(max_lag: int, squeeze: bool = False):
-    """Arrow function (idx_a, val_a, idx_b, val_b) -> profile over lags -max_lag..max_lag.
-
-    ``squeeze`` first removes positions at which both series are missing.
+def _stacked(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, position and value of every observation of the series in columns ``at`` and ``at + 1``."""
+    sizes = batch.column(at).value_lengths().to_numpy(zero_copy_only=False)
+    return (np.repeat(np.arange(batch.num_rows), sizes), batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+            batch.column(at + 1).flatten().to_numpy(zero_copy_only=False))
+
+
+def _side_by_side(batch: pa.RecordBatch, at: int, squeeze: bool) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Both series of every pair as rows of two matrices and of two masks, from a common first position; and their lengths."""
+    both = [_stacked(batch, at), _stacked(batch, at + 2)]
+    lo = np.full(batch.num_rows, np.iinfo(np.int64).max)
+    hi = np.full(batch.num_rows, -1)
+    for row, idx, _ in both:
+        np.minimum.at(lo, row, idx)
+        np.maximum.at(hi, row, idx)
+    length = hi - lo + 1
+    values, seen = [], []
+    for row, idx, val in both:
+        m = np.zeros((batch.num_rows, int(length.max())))
+        v = m.copy()
+        m[row, idx - lo[row]] = 1.0
+        v[row, idx - lo[row]] = val
+        values.append(v)
+        seen.append(m)
+    if squeeze:
+        keep = (seen[0] + seen[1]) > 0
+        length = keep.sum(axis=1)
+        rows, old = np.nonzero(keep)
+        place = (np.cumsum(keep, axis=1) - 1)[rows, old]
+
+        def moved(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(x), int(length.max())))
+            out[rows, place] = x[rows, old]
+            return out
+
+        values, seen = [moved(x) for x in values], [moved(x) for x in seen]
+    return values, seen, length
+
+
+def cross_moments(values: list[np.ndarray], seen: list[np.ndarray], max_lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Joint observations and correlations (pairs x lags) of a[t - lag] with b[t], for all pairs and lags at once.
+
+    Unseen positions are zero in ``values`` and ``seen``. The second series and its mask are looked at
+    through a window that slides over the lags, so every moment is one product over all pairs. Values
+    are centred first; a variance under 1e-12 of the squares it comes from is rounding residue.
     """
-    @F.pandas_udf(PROFILE)
-    def profile(ia: pd.Series, va: pd.Series, ib: pd.Series, vb: pd.Series) -> pd.Series:
-        out = []
-        for i, v, j, w in zip(ia, va, ib, vb):
-            lo, hi = min(i[0], j[0]), max(i[-1], j[-1])
-            a, b = _dense(i, v, lo, hi), _dense(j, w, lo, hi)
-            if squeeze:
-                keep = ~(np.isnan(a) & np.isnan(b))
-                a, b = a[keep], b[keep]
-            top = min(max_lag, len(a) - 1)
-            rows = []
-            for lag in range(-top, top + 1):
-                n, r = _lag_stats(a, b, lag)
-                rows.append({"lag": lag, "n": n, "corr": None if np.isnan(r) else r})
-            out.append(rows)
-        return pd.Series(out)
-    return profile
+    (x, y), (m, w) = values, seen
+    x = (x - x.sum(axis=1, keepdims=True) / np.maximum(m.sum(axis=1, keepdims=True), 1)) * m
+    y = (y - y.sum(axis=1, keepdims=True) / np.maximum(w.sum(axis=1, keepdims=True), 1)) * w
+    size = x.shape[1]
+
+    def slid(z: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(np.pad(z, ((0, 0), (max_lag, max_lag))), size, axis=1)
+
+    over = lambda u, z: np.einsum("pt,plt->pl", u, slid(z))
+    n, sx, sy, sxy = over(m, w), over(x, w), over(m, y), over(x, y)
+    sxx, syy = over(x * x, w), over(m, y * y)
+    with np.errstate(all="ignore"):
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        told = (n >= 2) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy)
+        corr = np.where(told, (sxy - sx * sy / n) / np.sqrt(vx * vy), np.nan)
+    return np.rint(n).astype(np.int32), np.clip(corr, -1.0, 1.0)
+
+
+def _profiles(kept: int, max_lag: int, squeeze: bool):
+    """Task function: the first ``kept`` columns of a pair and its profile over lags -max_lag..max_lag, shorter for short series."""
+    lags = np.arange(-max_lag, max_lag + 1, dtype=np.int32)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            span = int(np.ptp(np.concatenate([_stacked(batch, k)[1] for k in (kept, kept + 2)]))) + 1
+            step = max(1, CELLS // span)
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                values, seen, length = _side_by_side(part, kept, squeeze)
+                n, corr = cross_moments(values, seen, max_lag)
+                inside = np.abs(lags)[None, :] < length[:, None]
+                ends = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
+                lag = np.broadcast_to(lags, inside.shape)[inside]
+                told = pa.StructArray.from_arrays([pa.array(lag), pa.array(n[inside]), pa.array(corr[inside], mask=np.isnan(corr[inside]))], ["lag", "n", "corr"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.ListArray.from_arrays(ends, told)], names=[*part.schema.names[:kept], "profile"])
+
+    return run
 
 
 def pair_profiles(pairs: DataFrame, packed: DataFrame, max_lag: int,
                   squeeze: bool = False) -> DataFrame:
-    """pairs(a, b) with both series present, plus their lag profile."""
+    """pairs(a, b) with both series present, plus their lag profile.
+
+    ``squeeze`` first removes positions at which both series are missing.
+    """
     left = packed.select(F.col("name").alias("a"), F.col("idx").alias("ia"), F.col("val").alias("va"))
     right = packed.select(F.col("name").alias("b"), F.col("idx").alias("ib"), F.col("val").alias("vb"))
-    j = pairs.join(left, "a").join(right, "b")
-    return j.select(*pairs.columns, lag_profile(max_lag, squeeze)("ia", "va", "ib", "vb")
-                    .alias("profile"))
+    j = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "ia", "va", "ib", "vb")
+    told = T.StructType([*j.schema.fields[:len(pairs.columns)], T.StructField("profile", T.DataType.fromDDL(PROFILE))])
+    return j.mapInArrow(_profiles(len(pairs.columns), max_lag, squeeze), told)
 
 
 def best_lag(profile: Column, min_obs: int) -> Column:
@@ -142,14 +200,18 @@ def best_lag(profile: Column, min_obs: int) -> Column:
     return F.array_max(scored)
 
 
+def best_lags(profiles: DataFrame, min_obs: int = CFG.min_obs) -> DataFrame:
+    """lag, corr, n of the best lag of every profile; pairs that cannot be measured are absent."""
+    rest = [c for c in profiles.columns if c != "profile"]
+    prof = profiles.withColumn("best", best_lag(F.col("profile"), min_obs))
+    return prof.where(F.col("best").isNotNull()).select(
+        *rest, F.col("best.lag").alias("lag"), F.col("best.corr").alias("corr"), F.col("best.n").alias("n"))
+
+
 def lead_lag(pairs: DataFrame, packed: DataFrame, max_lag: int = CFG.max_lag,
              min_obs: int = CFG.min_obs, squeeze: bool = False) -> DataFrame:
     """pairs(a, b, ...) -> lag, corr, n of the best lag; pairs that cannot be measured are absent."""
-    prof = pair_profiles(pairs, packed, max_lag, squeeze).withColumn(
-        "best", best_lag(F.col("profile"), min_obs))
-    return prof.where(F.col("best").isNotNull()).select(
-        *pairs.columns, F.col("best.lag").alias("lag"), F.col("best.corr").alias("corr"),
-        F.col("best.n").alias("n"))
+    return best_lags(pair_profiles(pairs, packed, max_lag, squeeze), min_obs)
 
 
 def industry_pairs(edges: DataFrame) -> DataFrame:
@@ -165,8 +227,12 @@ def score_edges(edges: DataFrame, series: DataFrame, max_lag: int = CFG.max_lag,
 
     Each unordered pair is measured once; the opposite direction mirrors the lag.
     """
-    ll = measured_both_ways(lead_lag(once_per_pair(industry_pairs(edges)), pack(series),
-                                     max_lag, min_obs))
+    return with_price_lags(edges, lead_lag(once_per_pair(industry_pairs(edges)), pack(series), max_lag, min_obs))
+
+
+def with_price_lags(edges: DataFrame, measured: DataFrame) -> DataFrame:
+    """Every edge with the best lag of its pair of industries out of ``measured(a, b, lag, corr, n)``."""
+    ll = measured_both_ways(measured)
     return edges.withColumns({"_a": N.node_value(F.col("src")), "_b": N.node_value(F.col("dst")),
                               "_k": F.concat(N.node_kind(F.col("src")), N.node_kind(F.col("dst")))
                               }).join(

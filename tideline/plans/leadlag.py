@@ -87,9 +87,16 @@ def cycle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                         band_members(spark, sf_dir))
 
 
+@kept
+def nation_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lag profile of every related pair of nations; what lags are asked for reads it."""
+    pairs = L.once_per_pair(L.industry_pairs(nation_edges(spark, sf_dir)))
+    return L.pair_profiles(pairs, L.pack(nation_series(spark, sf_dir)), 20)
+
+
 @kept
 def scored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.score_edges(nation_edges(spark, sf_dir), nation_series(spark, sf_dir))
+    return L.with_price_lags(nation_edges(spark, sf_dir), L.best_lags(nation_profiles(spark, sf_dir)))
 
 
 @kept
@@ -104,24 +111,20 @@ def a8(spark, sf_dir):
 
 @query("a9_lag_corr")
 def a9(spark, sf_dir):
-    pairs = L.once_per_pair(L.industry_pairs(nation_edges(spark, sf_dir)))
-    prof = L.pair_profiles(pairs, L.pack(nation_series(spark, sf_dir)), 20)
-    rows = prof.select("a", "b", F.explode("profile").alias("p")).where("p.n >= 60")
+    rows = nation_profiles(spark, sf_dir).select("a", "b", F.explode("profile").alias("p")).where("p.n >= 60")
     return rows.select("a", "b", "p.lag", "p.n", F.round("p.corr", 7).alias("corr"))
 
 
 @query("j8_lagged_self_join")
 def j8(spark, sf_dir):
-    """Joint observations per pair and lag."""
-    pairs = L.once_per_pair(L.industry_pairs(nation_edges(spark, sf_dir)))
-    prof = L.pair_profiles(pairs, L.pack(nation_series(spark, sf_dir)), 20)
-    return prof.select("a", "b", F.explode("profile").alias("p")).select("a", "b", "p.lag", "p.n")
+    """Joint observations and correlation per pair and lag, wherever both series are there at once."""
+    rows = nation_profiles(spark, sf_dir).select("a", "b", F.explode("profile").alias("p")).where("p.n > 0")
+    return rows.select("a", "b", "p.lag", "p.n", F.round("p.corr", 7).alias("corr"))
 
 
 @query("w10_best_lag")
 def w10(spark, sf_dir):
-    pairs = L.once_per_pair(L.industry_pairs(nation_edges(spark, sf_dir)))
-    return rounded(L.lead_lag(pairs, L.pack(nation_series(spark, sf_dir))), 7, "corr")
+    return rounded(L.best_lags(nation_profiles(spark, sf_dir)), 7, "corr")
 
 
 @query("c18_corr_t")
@@ -178,8 +181,7 @@ def g13(spark, sf_dir):
 @query("u5_pair_dedupe")
 def u5(spark, sf_dir):
     """Each unordered pair once, and its mirror with the opposite lag."""
-    pairs = L.once_per_pair(L.industry_pairs(nation_edges(spark, sf_dir)))
-    both = L.measured_both_ways(L.lead_lag(pairs, L.pack(nation_series(spark, sf_dir))))
+    both = L.measured_both_ways(L.best_lags(nation_profiles(spark, sf_dir)))
     return both.select("a", "b", "lag", "n", "mirrored")
 
 
