@@ -62,17 +62,16 @@ def _dimensions(scored: DataFrame) -> DataFrame:
                    one("axis", only("axis", S.IDEA_AXES)),
                    one("impact", only("impact", (S.IMPACT_GAIN, S.IMPACT_LOSS))),
                    one("provenance", backed), one("path", F.nullif("via", F.lit(""))))
-    return scored.select("forward_return", F.explode(dims).alias("d")).where(
-        F.col("d.value").isNotNull()).select("d.dim", "d.value", "forward_return")
+    return scored.withColumn("d", F.explode(dims)).where(F.col("d.value").isNotNull()).select(
+        *scored.columns, "d.dim", "d.value")
 
 
 def summary(scored: DataFrame, min_path_n: int = 3) -> DataFrame:
     """n, mean, median and hit rate per dimension value; paths need ``min_path_n`` rows."""
-    rows = _dimensions(scored)
-    agg = rows.groupBy("dim", "value").agg(
+    agg = _dimensions(scored).groupBy("dim", "value").agg(
         F.count("*").alias("n"), F.avg("forward_return").alias("mean"),
         F.avg((F.col("forward_return") > 0).cast("double")).alias("hit_rate"))
-    med = exact_median(rows, ["dim", "value"], "forward_return")
+    med = exact_median(scored, ["dim", "value"], "forward_return", each=_dimensions)
     return agg.join(med, ["dim", "value"]).where((F.col("dim") != "path") | (F.col("n") >= min_path_n)
                                                  ).select("dim", "value", "n", "mean", "median", "hit_rate")
 
@@ -88,7 +87,7 @@ def gap_validity(scored: DataFrame, min_rows: int = 5) -> DataFrame:
     """Does the gap predict? Correlation with the return, and the quarter with the largest gaps."""
     g = scored.where(F.col("gap").isNotNull())
     corr = g.agg(F.count("*").alias("n"), safe_corr(F.col("gap"), F.col("forward_return")).alias("corr"))
-    top = largest(g, "gap", 4, ["base_date", "ticker", "idea", "name"], scale=0.1)
+    top = largest(g, "gap", 4, ["base_date", "ticker", "idea", "name"])
     best = top.agg(F.count("*").alias("top_n"), F.avg("forward_return").alias("top_mean"),
                    F.avg((F.col("forward_return") > 0).cast("double")).alias("top_hit_rate"))
     # two one-row tables

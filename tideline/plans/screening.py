@@ -219,7 +219,7 @@ def w7(spark, sf_dir):
 def w9(spark, sf_dir):
     c = I.table(spark, sf_dir, "part").select("p_partkey", F.when(
         F.col("p_type") != "PROMO", F.col("p_size")).alias("size"))
-    return rounded(with_pct_rank(c, "size", "pct", scale=25.0), 9, "pct").select(
+    return rounded(with_pct_rank(c, "size", "pct"), 9, "pct").select(
         "p_partkey", "size", "pct")
 
 
