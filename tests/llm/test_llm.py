@@ -231,7 +231,7 @@ def test_topk(spark):
     rng = np.random.default_rng(3)
     vs = [rng.normal(size=16).tolist() for _ in range(300)] + [[1.0] * 16] * 5 + [[0.0] * 16]
     rows = [(k, v) for k, v in enumerate(vs)] + [(900, None), (901, [float("nan")] * 16), (902, [None] * 16), (903, [float("inf")] * 16), (None, [1.0] * 16)]
-    vectors = topk.quantized(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
+    vectors = topk.numbered(topk.quantized(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e"))
     got = topk.top_k(vectors, vectors.where("id % 50 = 0"), 5, shard=64, block=4).collect()
     ints = {k: np.floor(np.array(v) * 256).astype(int) for k, v in rows[:306]}
     want = {(q, n + 1, *x) for q in range(0, 306, 50) for n, x in enumerate(sorted(((k, int(v @ ints[q])) for k, v in ints.items() if k != q), key=lambda x: (-x[1], x[0]))[:5])}
@@ -239,6 +239,27 @@ def test_topk(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0 and topk.top_k(vectors.where("id < 2"), vectors.where("id = 0")).count() == 1
 
 
+def test_topk_of_repeated_ids(spark):
+    """Every query row has its own list, and rows that share its id are candidates like any other."""
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), *((k, [k / 8, 0.0]) for k in range(1, 8)), (7, [7 / 8, 0.0])]
+    vectors = topk.numbered(topk.quantized(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e"))
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(vectors, vectors.where("id = 0"), 5).collect())
+    want = []
+    for at in (0, 1):
+        scores = sorted((-int(rows[at][1][0] * 256) * int(v[0] * 256), i) for n, (i, v) in enumerate(rows) if n != at)
+        want += [(n, i, -s) for n, (s, i) in enumerate(scores[:5], 1)]
+    assert got == sorted(want)
+
+
+def test_line_spread_of_a_longest_line(docs):
+    """A notice that is the longest line of every document it stands in, and one that is all of a document."""
+    notice, alone = words(60, 900), words(50, 901)
+    rows = [(k, f"{words(9, k)}\n{notice}", f"s{k}", "en", "x") for k in range(30)] + [(100 + k, alone + "\n \n", f"s{k}", "en", "x") for k in range(30)]
+    got = {r.doc_id: r for r in line_spread.without_boilerplate(docs(rows)).collect()}
+    assert all(got[k].n_removed == 1 and got[k].text == words(9, k) for k in range(30))
+    assert all(got[100 + k].n_removed == 0 for k in range(30))
+
+
 def test_line_spread(docs):
     rows = [(k, f"{words(12, k)}\n  shared line \n\n{words(9, k + 500)}", f"s{k % 12}", "en", "x") for k in range(40)]
     rows += [(100 + k, words(12, 77) + "\n" + words(13, 78), f"s{k % 12}", "en", "x") for k in range(40)]  # copies on many sites are no boilerplate

@@ -23,20 +23,39 @@ def _line_key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
+def _two_longest(lines: Column) -> Column:
+    """(first, second): the longest line that isn't blank, and the longest one that differs from it once trimmed."""
+    kind = "struct<n:int,line:string>"
+    sized = lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))
+
+    def with_line(two: Column, x: Column) -> Column:
+        ahead = two["first"].isNull() | (sized(x) > two["first"])
+        same = F.coalesce(F.trim(two["first"]["line"]) == F.trim(x), F.lit(False))
+        then = F.struct(F.when(ahead, sized(x)).otherwise(two["first"]).cast(kind).alias("first"),
+                        F.when(same, two["second"]).when(ahead, two["first"]).otherwise(F.greatest(two["second"], sized(x))).cast(kind).alias("second"))
+        return F.when(F.trim(x) == "", two).otherwise(then)
+
+    none = F.struct(F.lit(None).cast(kind).alias("first"), F.lit(None).cast(kind).alias("second"))
+    return F.aggregate(lines, none, with_line)
+
+
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Keys of lines that spread over at least `min_sites` distinct sites (sources): one column, line.
 
     Copies of one document on many sites must not make all of its lines boilerplate, so a line must
     also meet at least `min_sites` distinct companions, where the companion of a line is the longest
-    line of its document. Both numbers are HyperLogLog sketches per line that Spark merges, map-side
-    first. A line is settled by the sketches when either is under a third of the threshold or both
+    other line of its document (ties to the last by text; blank lines are none). Both numbers are
+    HyperLogLog sketches per line that Spark merges, map-side first. A line is settled by the sketches when either is under a third of the threshold or both
     are four errors above it; every other line gets exact distinct counts.
     """
     rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), lines_of(F.col("text")).alias("lines"))
-    longest = F.array_max(F.transform("lines", lambda x: F.named_struct(F.lit("n"), F.length(x), F.lit("line"), x)))["line"]
     # what holds for a whole document is worked out before its lines are exploded, not once per line
-    rows = rows.select(F.xxhash64("site").alias("site"), F.xxhash64(longest).alias("companion"), "lines")
-    rows = rows.select("site", "companion", F.explode("lines").alias("raw")).select("site", "companion", _line_key(F.col("raw")).alias("line")).where("line is not null")
+    rows = rows.select(F.xxhash64("site").alias("site"), "lines", _two_longest(F.col("lines")).alias("two"))
+    first, second = F.col("two.first.line"), F.col("two.second.line")
+    rows = rows.select("site", "lines", _line_key(first).alias("own"), F.xxhash64(first).alias("first"), F.when(second.isNotNull(), F.xxhash64(second)).alias("second"))
+    rows = rows.select("site", "own", "first", "second", F.explode("lines").alias("raw")).withColumn("line", _line_key(F.col("raw"))).where("line is not null")
+    # the longest line itself meets the longest other one
+    rows = rows.select("site", F.when(F.col("line") == F.col("own"), F.col("second")).otherwise(F.col("first")).alias("companion"), "line")
     spread = rows.groupBy("line").agg(F.approx_count_distinct("site", ERROR).alias("sites"), F.approx_count_distinct("companion", ERROR).alias("companions"))
     low, high = min_sites / 3, min_sites * (1 + 4 * ERROR) + 1
     spread = staged(spread.where((F.col("sites") >= low) & (F.col("companions") >= low)), "spread")

@@ -55,7 +55,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    """The five best other rows of every query row; null or non-finite vectors take no part, an empty table gives no rows."""
+    vectors = topk.numbered(topk.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
     return topk.top_k(vectors, vectors.where("id % 50 = 0"), 5)
 
 

@@ -83,21 +83,23 @@ FROM o GROUP BY conv_id
 
 TOPK = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
-), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+  SELECT q.i, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.i <> c.i
+), r AS (SELECT query_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
 
 LINE_SPREAD = """
 WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(source, '') AS site, text, string_split(text, chr(10)) AS lines FROM documents),
-l AS (
-  SELECT row_no, site, list_aggregate(list_transform(lines, lambda x: {'n': length(x), 'x': x}), 'max').x AS companion,
-         unnest(lines) AS raw, unnest(range(0, len(lines))) AS pos FROM d
-), k AS (SELECT *, trim(raw) AS line FROM l),
+l AS (SELECT row_no, site, lines, unnest(lines) AS raw, unnest(range(0, len(lines))) AS pos FROM d),
+k AS (
+  SELECT row_no, site, raw, pos, trim(raw) AS line,
+         list_aggregate(list_transform(list_filter(lines, lambda x: trim(x) <> '' AND trim(x) <> trim(raw)), lambda x: {'n': length(x), 'x': x}), 'max').x AS companion
+  FROM l
+),
 b AS (SELECT line FROM k WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10 AND count(DISTINCT companion) >= 10),
 g AS (
   SELECT row_no, string_agg(raw, chr(10) ORDER BY pos) FILTER (line NOT IN (SELECT line FROM b)) AS kept,

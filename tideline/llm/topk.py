@@ -33,6 +33,11 @@ def quantized(vectors: DataFrame, ids: str, values: str, factor: int = 256) -> D
     return vectors.where(usable).select(F.col(ids).cast("long").alias("id"), F.transform(value, lambda x: F.floor(x.cast("double") * factor).cast("long")).alias("v"))
 
 
+def numbered(vectors: DataFrame) -> DataFrame:
+    """Adds row, a number of its own for every row, and writes the table, so that the number stays."""
+    return staged(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+
 def _packed(size: int):
     schema = pa.schema([("n", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("v", pa.binary())])
 
@@ -48,8 +53,8 @@ def _packed(size: int):
             ids.clear()
             vs.clear()
 
-        for own, v in arrow_rows(batches):
-            ids.append(own)
+        for row, own, v in arrow_rows(batches):
+            ids.append((row, own))
             vs.append(v)
             if len(vs) == size:
                 flush()
@@ -63,17 +68,18 @@ def _packed(size: int):
 
 
 def _unpacked(n: int, dims: int, ids: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(v, np.int64).reshape(n, dims)
+    return np.frombuffer(ids, np.int64).reshape(n, 2), np.frombuffer(v, np.int64).reshape(n, dims)
 
 
-def search_shard(ids: np.ndarray, shard: np.ndarray, query_id: int, query: np.ndarray, k: int, extremes=None) -> list[tuple[int, int]]:
-    """The k best (vec_id, score) of a shard for one query, ties to the smaller id; the query's own id is no candidate."""
+def search_shard(own: np.ndarray, shard: np.ndarray, query_row: int, query: np.ndarray, k: int, extremes=None) -> list[tuple[int, int]]:
+    """The k best (vec_id, score) of a shard for one query, ties to the smaller id; `own` has row and id of each vector, and the query's own row is no candidate."""
+    row, ids = own[:, 0], own[:, 1]
     low, high = extremes if extremes is not None else (shard.min(axis=0), shard.max(axis=0))
     a, b = query * low, query * high
     least, bound = np.minimum(a, b), np.abs(b - a)
     order = np.argsort(-bound, kind="stable")
     rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what the terms from here on can add at most
-    rows = np.flatnonzero(ids != query_id)
+    rows = np.flatnonzero(row != query_row)
     if not len(rows):
         return []
     base = least.sum()
@@ -103,20 +109,23 @@ def search_shard(ids: np.ndarray, shard: np.ndarray, query_id: int, query: np.nd
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Each query's k best candidates: query_id, rank (from 1), vec_id, score; ties to the smaller vec_id.
 
-    Both tables are (id, v), see `quantized`. Candidates are all rows but those with the query's own
-    id; fewer than k give fewer rows. Repeated rows count as often as they occur. Shorter vectors are
+    Both tables are (row, id, v), see `quantized` and `numbered`. Candidates are all rows but the
+    query's own; fewer than k give fewer rows. Repeated rows and ids count as often as they occur, as
+    candidates and as queries (whose result rows then repeat the query_id). Null vectors, vectors with
+    null or non-finite components and null ids take no part. Shorter vectors are
     padded with zeros. Scores are exact within the range of a long. Empty tables give an empty result.
     Shards of candidates meet blocks of queries in an equi-join on the block's number; each pair of
     them is one bounded piece of work and sends at most k rows per query.
     """
     kinds = "n int, dims int, ids binary, v binary"
+    queries, vectors = queries.select("row", "id", "v"), vectors.select("row", "id", "v")
     blocks = queries.mapInArrow(_packed(block), kinds).withColumn("block", F.monotonically_increasing_id())
     blocks = staged(blocks.select("block", *(F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "v"))), "blocks")
     numbers = [r[0] for r in blocks.select("block").collect()]  # one number per block of queries
     shards = vectors.mapInArrow(_packed(shard), kinds).withColumn("salt", F.pmod(F.monotonically_increasing_id() + F.shiftrightunsigned(F.monotonically_increasing_id(), 33), F.lit(SALTS)))
     shards = shards.withColumn("block", F.explode(F.lit(numbers).cast("array<long>")))
     met = shards.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["block", "salt"])
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(batches):
         out = Sink(schema)
@@ -127,14 +136,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
             if width and float(np.abs(held).max()) * float(np.abs(asked).max()) * width < EXACT:
                 held, asked = np.asfortranarray(held, dtype=np.float64), asked.astype(np.float64)  # exact, and fast to multiply
             extremes = (held.min(axis=0), held.max(axis=0)) if width else None
-            for query_id, query in zip(q_own.tolist(), asked):
-                found = search_shard(own, held, query_id, query, k, extremes) if width else [(int(i), 0) for i in np.sort(own[own != query_id])[:k]]
+            for (query_row, query_id), query in zip(q_own.tolist(), asked):
+                found = search_shard(own, held, query_row, query, k, extremes) if width else [(int(i), 0) for i in np.sort(own[own[:, 0] != query_row, 1])[:k]]
                 for vec_id, score in found:
-                    out.add(query_id, vec_id, score)
+                    out.add(query_row, query_id, vec_id, score)
                 if out.full:
                     yield out.take()
         yield out.take()
 
-    found = met.select("n", "dims", "ids", "v", "q_n", "q_dims", "q_ids", "q_v").mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.select("n", "dims", "ids", "v", "q_n", "q_dims", "q_ids", "q_v").mapInArrow(search, "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
