@@ -272,13 +272,15 @@ def test_line_spread(docs):
 
 
 def test_stages_keep_columns_and_run(docs, spark):
-    rows = common.table(spark, SF, "documents").withColumn("copies", F.lit("clash")).withColumn("fp", F.lit(1))
+    clashes = ("copies", "fp", "__id", "__text", "__rows", "doc", "id_key", "text_key", "keep", "gone", "n", "rows", "n_lines", "n_removed", "size", "a b")
+    rows = common.table(spark, SF, "documents").withColumns({c: F.lit(f"{c}!") for c in clashes})
     before = rows.count()
     for name, stage in corpus_pipeline.STAGES:
         out = common.staged(stage(spark, rows, SF), name)
         assert out.count() <= before and 0 < out.count()
         if name != "source_mix":
             assert out.columns == rows.columns
+        assert all(out.where(F.col(f"`{c}`") != f"{c}!").count() == 0 for c in clashes[1:])
         before, rows = out.count(), out
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs([]), SF).count() == 0

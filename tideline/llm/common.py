@@ -66,6 +66,12 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(F.md5(text.cast("binary")), F.lit("-")))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc, id_key, text_key): whole rows as one struct, so that no column of theirs meets a helper's; `doc.*` unpacks them."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    return docs.select(whole, id_key(F.col("doc_id")).alias("id_key"), text_key(F.col("text")).alias("text_key"))
+
+
 def lowered_words(text: bytes | None) -> list[bytes]:
     """ASCII-lowered words of a UTF-8 text: bytes.split() cuts at exactly the six space characters."""
     return text.lower().split() if text else []

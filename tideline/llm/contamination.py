@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Sink, arrow_rows, id_key, looked_up, lowered_words, staged, text_key
+from tideline.llm.common import Sink, arrow_rows, id_key, looked_up, packed, lowered_words, staged, text_key
 
 SHINGLE, THRESHOLD, HASHES = 5, 0.8, 64
 #: Bits of the two filters that are broadcast, 1 MB each whatever the number of items.
@@ -141,6 +141,5 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no test item, with all their columns. Null and empty texts stay."""
-    bad = staged(contaminated(docs, items, threshold).select(F.col("id_key").alias("__id"), F.col("text_key").alias("__text")).distinct(), "contaminated")
-    keyed = docs.withColumns({"__id": id_key(F.col("doc_id")), "__text": text_key(F.col("text"))})
-    return looked_up(keyed, bad, ["__id", "__text"], "left_anti").select(*docs.columns)
+    bad = staged(contaminated(docs, items, threshold).select("id_key", "text_key").distinct(), "contaminated")
+    return looked_up(packed(docs), bad, ["id_key", "text_key"], "left_anti").select("doc.*")

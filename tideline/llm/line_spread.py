@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import id_key, looked_up, staged, text_key
+from tideline.llm.common import id_key, looked_up, packed, staged, text_key
 
 #: A line on this many sites, in this many differing documents, is boilerplate.
 MIN_SITES = 10
@@ -75,24 +75,25 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return staged(found.groupBy("id_key", "text_key").agg(F.collect_set("pos").alias("gone")), "removals")
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """All documents with their boilerplate lines removed: the input's columns plus n_lines and n_removed.
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True) -> DataFrame:
+    """All documents with their boilerplate lines removed: the input's columns and, with `counts`, n_lines and n_removed.
 
     Every occurrence of such a line goes; what is left keeps its order and line ends. n_chars, where
     there is one, is counted anew for changed texts. A null text stays null with no lines; an empty
     one has one blank line. Null sources are one site. A document that is nothing but boilerplate
-    stays with an empty text. Repeated rows are cleaned alike. Other columns pass through.
+    stays with an empty text. Repeated rows are cleaned alike. Other columns pass through, but for a
+    caller's n_lines and n_removed, which `counts` replaces. Lines are told apart after spaces (U+0020) at both ends.
     """
-    gone = removals(docs, min_sites).select(F.col("id_key").alias("__id"), F.col("text_key").alias("__text"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumns({"__id": id_key(F.col("doc_id")), "__text": text_key(F.col("text"))})
-    joined = looked_up(keyed, gone, ["__id", "__text"], grows=True)
-    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    changed = joined.withColumns({
-        "text": text, "n_lines": F.coalesce(F.size(lines_of(F.col("text"))), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    changed = changed.withColumns({c: F.greatest(F.col(c), F.lit(0).cast("long")) for c in ("n_lines", "n_removed")})
+    joined = looked_up(packed(docs), removals(docs, min_sites), ["id_key", "text_key"], grows=True)
+    own = F.col("doc.text")
+    kept = F.array_join(F.filter(lines_of(own), lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    joined = joined.select("doc", F.when(F.col("gone").isNull(), own).otherwise(kept).alias("text"),
+                           F.greatest(F.coalesce(F.size(lines_of(own)), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
+                           F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
+    added = ("n_lines", "n_removed") if counts else ()
+    new = {c: F.col(c) for c in ("text", *added)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns, *(c for c in ("n_lines", "n_removed") if c not in docs.columns))
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("doc.n_chars"))
+    whole = [new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+    return joined.select(*whole, *(c for c in added if c not in docs.columns))

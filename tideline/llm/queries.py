@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import chat_format, contamination, language, line_spread, near_vectors, passages, phrases, pitman_yor, quality, simhash, source_mix, topk, vector_codes
-from tideline.llm.common import fold, id_key, looked_up, staged, table, text_key
+from tideline.llm.common import fold, id_key, looked_up, packed, staged, table, text_key
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,23 +98,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.learn(docs.select("lang", "text"))
     if not model.languages:
         return docs
-    rows = docs.select(id_key(F.col("doc_id")).alias("__id"), text_key(F.col("text")).alias("__text"), "text", language.has_letter(F.col("text")).alias("letters"))
-    told = language.predict(rows, model).where("lang_pred = 'und' or score < 0.5").select("__id", "__text").distinct()
-    keyed = docs.withColumns({"__id": id_key(F.col("doc_id")), "__text": text_key(F.col("text"))})
-    return looked_up(keyed, staged(told, "rejected"), ["__id", "__text"], "left_anti").select(*docs.columns)
+    rows = docs.select(id_key(F.col("doc_id")).alias("id_key"), text_key(F.col("text")).alias("text_key"), "text", language.has_letter(F.col("text")).alias("letters"))
+    told = language.predict(rows, model).where("lang_pred = 'und' or score < 0.5").select("id_key", "text_key").distinct()
+    return looked_up(packed(docs), staged(told, "rejected"), ["id_key", "text_key"], "left_anti").select("doc.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_spread.without_boilerplate(docs).select(*docs.columns)
+    """Documents without boilerplate lines; columns as they came, but for text and n_chars."""
+    return line_spread.without_boilerplate(docs, counts=False)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every near-duplicate group, the smallest doc_id, with all columns; null and empty texts are one group."""
     return simhash.one_of_each(docs)
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, with all columns; null and empty texts stay."""
     return contamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix with `copies`, from 1 to 3; sources by code point weigh 1, 2, 3, repeating, null last."""
     return source_mix.mixed_documents(docs)

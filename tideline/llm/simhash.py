@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Sink, arrow_rows, components, id_key, looked_up, lowered_words, staged, text_key
+from tideline.llm.common import Sink, arrow_rows, components, id_key, looked_up, lowered_words, packed, staged, text_key
 
 SHINGLE, SEED, BITS_APART, POSTING = 3, 42, 2, 64
 #: Shingles whose bits are unpacked at a time.
@@ -123,10 +123,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = low.select("id", "txt").distinct().withColumn("keep", F.lit(True))
     # most documents are alone: only those that go, and those with repeated rows, are looked up
     keys = grouped.groupBy("id", "txt").agg(F.count("*").alias("copies")).join(kept, ["id", "txt"], "left")
-    odd = staged(keys.where("keep is null or copies > 1").select(F.col("id").alias("__id"), F.col("txt").alias("__text"), F.col("keep").alias("__keep"), F.col("copies").alias("__copies")), "odd")
-    whole = docs.withColumns({"__id": id_key(F.col("doc_id")), "__text": text_key(F.col("text"))})
-    out = looked_up(whole, odd, ["__id", "__text"])
-    single = out.where("__copies is null").select(*docs.columns)
-    order = Window.partitionBy("__id", "__text").orderBy(F.lit(1))
-    repeated = out.where("__keep and __copies > 1").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
-    return single.unionByName(repeated)
+    odd = staged(keys.where("keep is null or copies > 1").select(F.col("id").alias("id_key"), F.col("txt").alias("text_key"), "keep", "copies"), "odd")
+    out = looked_up(packed(docs), odd, ["id_key", "text_key"])
+    order = Window.partitionBy("id_key", "text_key").orderBy(F.lit(1))
+    repeated = out.where("keep and copies > 1").withColumn("n", F.row_number().over(order)).where("n = 1")
+    return out.where("copies is null").select("doc.*").union(repeated.select("doc.*"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import id_key, looked_up, staged, text_key, word_count
+from tideline.llm.common import id_key, looked_up, packed, staged, text_key, word_count
 
 #: Parts of the unit interval that ranks are counted in before the one part that holds the cut is sorted.
 PARTS = 4096
@@ -111,13 +111,12 @@ def mixed_documents(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
     Rows with the same doc_id and text share their copies: each gets the whole part of the mean, the
     first ones one more.
     """
-    keyed = docs.withColumns({"__id": id_key(F.col("doc_id")), "__text": text_key(F.col("text"))})
-    counts = mix(docs, most, seed, text=True).groupBy("id_key", "text_key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    counts = staged(counts.where("__copies > 0").select(F.col("id_key").alias("__id"), F.col("text_key").alias("__text"), "__copies", "__rows"), "copies")
-    joined = looked_up(keyed, counts, ["__id", "__text"], "inner", grows=True)
-    names = [c for c in docs.columns if c.lower() != "copies"]
-    single = joined.where("__rows = 1").select(*names, F.col("__copies").alias("copies"))
-    order = Window.partitionBy("__id", "__text").orderBy(F.lit(1))
-    shared = joined.where("__rows > 1").withColumn("__n", F.row_number().over(order))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__n") <= F.pmod(F.col("__copies"), F.col("__rows"))).cast("long")
-    return single.unionByName(shared.select(*names, share.alias("copies")).where("copies > 0"))
+    counts = mix(docs, most, seed, text=True).groupBy("id_key", "text_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    counts = staged(counts.where("copies > 0"), "copies")
+    joined = looked_up(packed(docs), counts, ["id_key", "text_key"], "inner", grows=True)
+    names = [F.col(f"doc.`{c}`") for c in docs.columns if c.lower() != "copies"]
+    single = joined.where("rows = 1").select(*names, "copies")
+    order = Window.partitionBy("id_key", "text_key").orderBy(F.lit(1))
+    shared = joined.where("rows > 1").withColumn("n", F.row_number().over(order))
+    share = F.floor(F.col("copies") / F.col("rows")) + (F.col("n") <= F.pmod(F.col("copies"), F.col("rows"))).cast("long")
+    return single.union(shared.withColumn("copies", share).where("copies > 0").select(*names, "copies"))
