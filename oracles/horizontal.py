@@ -113,9 +113,8 @@ SQL = {
         SELECT factor, count(*) AS n_common, min(dt_idx) AS first, max(dt_idx) AS last
         FROM fac_ret JOIN sm_mkt USING (dt_idx) GROUP BY 1""",
     "j3_reindex": f"""
-        SELECT dt_idx, g.grp, {r('g.ret', 8)} AS ret FROM sm_cal LEFT JOIN (
-            SELECT * FROM grp_ret WHERE grp = (SELECT grp FROM grp_ret GROUP BY 1
-                ORDER BY count(*), grp LIMIT 1)) g USING (dt_idx)""",
+        SELECT dt_idx, grp, {r('g.ret', 8)} AS ret
+        FROM sm_cal CROSS JOIN (SELECT DISTINCT grp FROM grp_ret) LEFT JOIN grp_ret g USING (dt_idx, grp)""",
     "u2_group_union": "SELECT grp, ticker FROM grp_members",
     "a28_inverse_membership": """
         SELECT ticker, string_agg(grp, '|' ORDER BY grp) AS groups FROM grp_members GROUP BY 1""",
