@@ -30,8 +30,9 @@ SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99, 2
 GRAM, MIN_WORDS = 8, 20
 #: Words around the ends of a run in which a tail too short for a window is looked for behind an edit.
 AROUND = 32
-#: Bits of the filter that is broadcast (8 MB), whatever the input's size.
-FILTER_BITS, SLICE_BITS = 26, 20
+#: Bits of the filter that is broadcast per counted key, its most bits as a power (64 MB), and those of a slice.
+#: Fuller filters let more texts through that repeat nothing; results stay the same.
+BITS_EACH, MOST_BITS, SLICE_BITS = 64, 29, 20
 #: A place is a document's number and a word of it in one long.
 START_BITS = 25
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -97,35 +98,38 @@ def _minima(window: int):
     return run
 
 
-def _positions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _positions(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     u = keys.view(np.uint64)
-    return (u >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (u & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    return (u >> np.uint64(64 - size)).astype(np.int64), (u & np.uint64((1 << size) - 1)).astype(np.int64)
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """Bit set with two bits per key. It is built in slices by the tasks; 2 ** FILTER_BITS bits reach the driver."""
+def _filter(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """Bit set with two bits per key, and the power of its size. It is built in slices by the tasks; its bits reach the driver."""
+    size = min(MOST_BITS, max(SLICE_BITS, (BITS_EACH * keys.count()).bit_length()))
     per = 1 << SLICE_BITS
-    mask = F.lit((1 << FILTER_BITS) - 1)
-    at = F.explode(F.array(F.shiftrightunsigned("key", 64 - FILTER_BITS), F.col("key").bitwiseAND(mask)))
+    mask = F.lit((1 << size) - 1)
+    at = F.explode(F.array(F.shiftrightunsigned("key", 64 - size), F.col("key").bitwiseAND(mask)))
 
     def slices(batches):
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False)
             for number in np.unique(values // per).tolist():
-                found.setdefault(number, np.zeros(per, bool))[values[values // per == number] % per] = True
+                own = values[values // per == number] % per
+                np.bitwise_or.at(found.setdefault(number, np.zeros(per >> 3, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
         if found:
-            yield pa.record_batch({"slice": pa.array(list(found), pa.int64()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes() for x in found.values()], pa.binary())})
+            yield pa.record_batch({"slice": pa.array(list(found), pa.int64()), "bits": pa.array([x.tobytes() for x in found.values()], pa.binary())})
 
     rows = keys.select(at.alias("at")).repartition(F.shiftright("at", SLICE_BITS)).mapInArrow(slices, "slice long, bits binary").collect()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits = np.zeros(1 << (size - 6), np.int64)
     for r in rows:
         bits[r["slice"] * (per >> 6):(r["slice"] + 1) * (per >> 6)] = np.frombuffer(bytes(r["bits"]), "<i8")
-    return bits
+    return size, bits
 
 
-def _holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    a, b = _positions(keys)
+def _holds(shared: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    size, bits = shared
+    a, b = _positions(keys, size)
     return (bits[a >> 6] >> (a & 63)) & (bits[b >> 6] >> (b & 63)) & 1 == 1
 
 
