@@ -17,7 +17,23 @@ cte("iorig", """
     SELECT a AS industry, rel, b AS other, count(DISTINCT who) AS n_origins FROM iclaims GROUP BY 1, 2, 3""")
 cte("imem", """
     SELECT DISTINCT substr(dst, 3) AS industry, substr(src, 3) AS ticker FROM igraph WHERE rel = '소속'""")
-cte("dag", "SELECT supplier, consumer FROM iflow WHERE supplier < consumer")
+cte("peeled", """
+    SELECT 0 AS step, list({'s': supplier, 'c': consumer}) AS live, []::STRUCT(s VARCHAR, c VARCHAR)[] AS cut
+    FROM iflow WHERE supplier <> consumer
+    UNION ALL
+    SELECT step + 1, list_filter(live, lambda e: NOT list_contains(gone, e.s) AND NOT list_contains(gone, e.c)),
+           CASE WHEN len(ends) > 0 THEN cut ELSE list_concat(cut, list_filter(live, lambda e: e.c = gone[1])) END
+    FROM (SELECT *, CASE WHEN len(ends) > 0 THEN ends ELSE [list_sort(list_transform(nodes, lambda n: {
+                     'k': len(list_filter(ins, lambda x: x = n)) - len(list_filter(outs, lambda x: x = n)), 'n': n}))[1].n]
+                 END AS gone
+          FROM (SELECT *, list_filter(nodes, lambda n: NOT list_contains(outs, n) OR NOT list_contains(ins, n)) AS ends
+                FROM (SELECT *, list_distinct(list_concat(outs, ins)) AS nodes
+                      FROM (SELECT *, list_transform(live, lambda e: e.s) AS outs, list_transform(live, lambda e: e.c) AS ins
+                            FROM peeled WHERE len(live) > 0))))""")
+cte("cuts", "SELECT e.s AS supplier, e.c AS consumer FROM (SELECT unnest(arg_max(cut, step)) AS e FROM peeled)")
+cte("dag", """
+    SELECT supplier, consumer FROM iflow WHERE supplier <> consumer
+    AND (supplier, consumer) NOT IN (SELECT (supplier, consumer) FROM cuts)""")
 cte("trade_rows", """
     SELECT 'T:' || CASE WHEN rn = 1 THEN ticker ELSE other END AS src, 'T:' || CASE WHEN rn = 1 THEN other ELSE ticker END AS dst,
            products AS product, CAST(NULL AS DOUBLE) AS weight, 'profile' AS source, ticker AS origin,
@@ -124,4 +140,10 @@ cte("node_depth", "SELECT node, max(depth) AS depth FROM walk GROUP BY 1")
 cte("downs", """
     SELECT supplier AS node, consumer AS below FROM dag
     UNION SELECT downs.node, consumer FROM downs JOIN dag ON supplier = below""")
+SQL["g8_cycle_break"] = "SELECT supplier, consumer FROM cuts"
+cte("placed", SQL["g9_layering"])
+SQL["g9_layering_after_break"] = """
+    SELECT node, layer, coalesce(n_back, 0) AS n_back FROM placed LEFT JOIN (
+        SELECT supplier AS node, count(*) AS n_back FROM cuts JOIN placed a ON a.node = supplier
+        JOIN placed b ON b.node = consumer WHERE b.layer <= a.layer GROUP BY 1) USING (node)"""
 SQL["g7_transitive_closure"] = "SELECT node, below FROM downs"

@@ -152,6 +152,15 @@ def test_cycles_break_and_layers_follow(spark):
     assert {(r["node"], r["below"]) for r in Ch.closure(kept).collect()} == {(a, b) for a in below for b in below[a]}
 
 
+def test_closure_of_long_and_cyclic_flows(spark):
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)]
+    got = {(r["node"], r["below"]) for r in Ch.closure(flows(spark, chain)).collect()}
+    assert got == {(f"n{i:02d}", f"n{j:02d}") for i in range(21) for j in range(i + 1, 21)}
+    ring = Ch.closure(flows(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")])).collect()
+    assert sorted((r["node"], r["below"]) for r in ring) == [(x, y) for x in "abc" for y in "abcd"]
+    assert Ch.closure(flows(spark, chain).limit(0)).count() == 0
+
+
 def test_chain_levels_never_repeat_and_respect_caps(spark):
     adj = spark.createDataFrame([("s", f"x{i}", 10 - i) for i in range(7)] + [("x0", "s", 9), ("x0", "x6", 1),
                                 ("x1", "y", 5), ("y", "x0", 3)], "node string, target string, n_origins int")

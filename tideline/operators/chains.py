@@ -130,15 +130,21 @@ def layers(flow: DataFrame) -> DataFrame:
 
 
 def closure(flow: DataFrame) -> DataFrame:
-    """(node, below): everything that can be reached downstream; needs edges without cycles."""
-    e = checkpointed(flow.select(F.col("supplier").alias("node"), F.col("consumer").alias("below")).distinct())
-    step = e.select(F.col("node").alias("below"), F.col("below").alias("next"))
-    reach, fresh = e, e
+    """(node, below): everything that can be reached downstream, the node itself where it is on a cycle.
+
+    A round joins the pairs it found last with all pairs, which doubles the length of the paths known,
+    so rounds grow with the logarithm of the depth. What a round finds is written once and appended;
+    earlier pairs are read, never written again.
+    """
+    fresh = checkpointed(flow.select(F.col("supplier").alias("node"), F.col("consumer").alias("below")).distinct())
+    found = [fresh]
     while not fresh.isEmpty():
+        known = reduce(DataFrame.unionByName, found)
+        step = known.select(F.col("node").alias("below"), F.col("below").alias("next"))
         grown = fresh.join(step, "below").select("node", F.col("next").alias("below")).distinct()
-        fresh = checkpointed(grown.join(reach, ["node", "below"], "left_anti"))
-        reach = checkpointed(reach.unionByName(fresh))
-    return reach
+        fresh = checkpointed(grown.join(known, ["node", "below"], "left_anti"))
+        found.append(fresh)
+    return reduce(DataFrame.unionByName, found)
 
 
 def chain_levels(seeds: DataFrame, adjacency: DataFrame, caps: tuple[int, ...] = S.GraphSettings().chain_caps

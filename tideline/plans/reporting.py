@@ -51,9 +51,16 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge(prof, W.trade_parts(spark, sf_dir)[0], contracts)
 
 
-def one_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows that run from the first nation by name to a later one: no cycle by construction."""
-    return flow(spark, sf_dir).where("supplier < consumer")
+@kept
+def cycle_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Ch.break_cycles(flow(spark, sf_dir))[1]
+
+
+@kept
+def acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow but for the edges cut to break its cycles."""
+    return (flow(spark, sf_dir).where("supplier <> consumer").select("supplier", "consumer")
+            .join(cycle_cuts(spark, sf_dir), ["supplier", "consumer"], "left_anti"))
 
 
 @query("a24_flow_edges")
@@ -74,22 +81,27 @@ def g11(spark, sf_dir):
 @query("g8_cycle_break")
 def g8(spark, sf_dir):
     """Edges dropped so that the rest has no cycle."""
-    return Ch.break_cycles(flow(spark, sf_dir))[1]
+    return cycle_cuts(spark, sf_dir)
 
 
 @query("g9_layering")
 def g9(spark, sf_dir):
-    return Ch.layers(one_way(spark, sf_dir))
+    return Ch.layers(acyclic(spark, sf_dir))
 
 
 @query("g9_layering_after_break")
 def g9_broken(spark, sf_dir):
-    return Ch.layers(Ch.break_cycles(flow(spark, sf_dir))[0])
+    """Layers with the cut edges that run against them: (node, layer, n_back), cuts from the node to a layer not above."""
+    at = Ch.layers(acyclic(spark, sf_dir))
+    ends = at.select(F.col("node").alias("consumer"), F.col("layer").alias("to"))
+    back = (cycle_cuts(spark, sf_dir).join(at.withColumnRenamed("node", "supplier"), "supplier").join(ends, "consumer")
+            .where("to <= layer").groupBy(F.col("supplier").alias("node")).agg(F.count("*").alias("n_back")))
+    return at.join(back, "node", "left").select("node", "layer", F.coalesce("n_back", F.lit(0)).alias("n_back"))
 
 
 @query("g7_transitive_closure")
 def g7(spark, sf_dir):
-    return Ch.closure(one_way(spark, sf_dir))
+    return Ch.closure(acyclic(spark, sf_dir))
 
 
 @query("g6_chain_levels")
