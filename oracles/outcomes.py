@@ -93,8 +93,12 @@ SQL = {
     "s13_edges_jsonl": f"""
         SELECT source, rel, count(*) AS n, {r('sum(confidence)', 4)} AS confidence FROM every_edge GROUP BY 1, 2""",
     "s14_case_source": """
-        SELECT CAST(base_date AS VARCHAR) AS base_date, count(*) AS n, count(*) FILTER (prio <> '2-HIGH') AS told
+        SELECT CAST(date_trunc('month', base_date)::DATE AS VARCHAR) AS base_date, count(*) AS n, count(*) FILTER (prio <> '2-HIGH') AS told
         FROM good_cases GROUP BY 1""",
+    "s13_edge_rejects": "SELECT 'torn.jsonl' AS file, count(*) AS n FROM events WHERE event_type = 'error' HAVING count(*) > 0",
+    "s14_case_rejects": """
+        SELECT strftime(o_orderdate, '%Y%m') || '01.json' AS file, count(*) AS n FROM orders
+        WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW' AND strftime(o_orderdate, '%Y') LIKE '2%' GROUP BY 1""",
     "f7_age_filter": """
         SELECT CAST(base_date AS VARCHAR) AS base_date, idea, axis, name, ticker, impact, priced_in,
                round(gap, 6) AS gap, graph_backed, via FROM preds""",

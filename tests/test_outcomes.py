@@ -66,7 +66,7 @@ def test_case_files_age_ticker_and_torn_files(spark, tmp_path):
                       ("20240120", json.dumps(case("다", "000003"))), ("20240103", '{"synthesis": {"ideas": ['),
                       ("19990101", json.dumps(case("라", "000004"))), ("20249999", json.dumps(case("마", "000005")))):
         (tmp_path / f"{name}.json").write_text(doc, encoding="utf-8")
-    p = K.aged_predictions(J.load_cases(spark, str(tmp_path)), "2024-01-30", K.min_age_days(5))
+    p = K.aged_predictions(J.load_cases(spark, str(tmp_path))[0], "2024-01-30", K.min_age_days(5))
     assert [(r["ticker"], r["impact"], r["base_date"]) for r in p.collect()] == [("000001", S.IMPACT_GAIN, DAY)]
 
 
@@ -143,3 +143,32 @@ def test_elements_of_a_wrong_type_are_problems(spark):
     syn = {k: "x" for k in S.SYNTHESIS_REQUIRED} | {"ideas": [{"axis": S.IDEA_AXES[0], "beneficiaries": ["y"]}]}
     told = V.validate_synthesis(spark.createDataFrame([(1, json.dumps(syn))], "run int, payload string")).first()["problems"]
     assert told == ["priced_in='None' 허용값 아님"]
+
+
+def test_files_are_read_whole_and_torn_ones_rejected(spark, tmp_path):
+    """A later extraction file replaces the whole entry; torn, foreign and blank files never stop a run."""
+    put = lambda name, text: (tmp_path / name).write_text(text, encoding="utf-8")
+    put("extract_a.json", '{"000010": {"products": [1, 2],\n "upstream": []}, "000020": {"products": [3]}}')
+    put("extract_b.json", '{"000010": {"products": []}}')
+    put("extract_c.json", '{"000020": {"prod')
+    put("extract_d.json", "[1, 2]")
+    put("extract_e.json", "  ")
+    found, rejects = J.read_extractions(spark, str(tmp_path))
+    assert {(r["ticker"], r["payload"].replace(" ", ""), r["file"]) for r in found.collect()} == {
+        ("000010", '{"products":[]}', "extract_b.json"), ("000020", '{"products":[3]}', "extract_a.json")}
+    assert {r["file"] for r in rejects.collect()} == {"extract_c.json", "extract_d.json"}
+
+
+def test_torn_edge_and_case_files(spark, tmp_path):
+    good = '{"src": "I:a", "dst": "I:b", "rel": "' + S.RELATIONS[1] + '", "sign": 0, "source": "dart", "confidence": 0.5}'
+    (tmp_path / "e.jsonl").write_text(f'{good}\n{{"src": "I:a\n\n{good}\n', encoding="utf-8")
+    assert J.read_edges(spark, str(tmp_path)).count() == 2
+    assert [tuple(r) for r in J.rejected_edges(spark, str(tmp_path)).collect()] == [("e.jsonl", '{"src": "I:a')]
+    cases = tmp_path / "cases"
+    cases.mkdir()
+    for name, text in (("20240101.json", '{"synthesis": {"market_summary": "m",\n "ideas": []}}'), ("20240102.json", '{"synth'),
+                       ("20241399.json", "{}"), ("notes.json", "{"), ("20240103.txt", "{}")):
+        (cases / name).write_text(text, encoding="utf-8")
+    read, rejects = J.load_cases(spark, str(cases))
+    assert [str(r["base_date"]) for r in read.collect()] == ["2024-01-01"]
+    assert [r["file"] for r in rejects.collect()] == ["20240102.json"]

@@ -293,8 +293,9 @@ def past_candidates(*files: DataFrame) -> DataFrame:
 
 
 def latest_extractions(rows: DataFrame) -> DataFrame:
-    """rows(file, ticker, payload): for a ticker the last file by name replaces all earlier ones."""
-    return rows.groupBy("ticker").agg(F.max_by("payload", "file").alias("payload"),
-                                      F.max("file").alias("file"))
-
+    """rows(file, ticker, payload): for a ticker the last file by name replaces all earlier ones.
 
+    Within a file the greatest payload by letter stands, so that reruns agree.
+    """
+    last = rows.groupBy("ticker").agg(F.max(F.struct("file", "payload")).alias("r"))
+    return last.select("ticker", "r.payload", "r.file")

@@ -144,3 +144,34 @@ def with_provenance(annotated: DataFrame, reach: DataFrame) -> DataFrame:
 def provenance_stats(marked: DataFrame) -> DataFrame:
     return marked.groupBy("shape").agg(F.count_if("graph_backed").alias("graph_backed"),
                                        F.count("*").alias("total"))
+
+
+def _looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key``; rows without one skip it, so NULL keys never meet in one task."""
+    met = left.where(F.col(key).isNotNull()).join(right, key, "left")
+    return met.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
+def annotated_cases(runs: DataFrame, resolved: DataFrame, best: DataFrame, reach: DataFrame, as_of: str) -> DataFrame:
+    """(base_date, run, synthesis): usable summaries as the case documents that are scored later.
+
+    ``runs(run, rec)`` names a document once; ``resolved(company, ticker)``, ``best(ticker, gap)`` and
+    ``reach(ticker, via)`` have one row per key. A resolved name sets ticker and gap, a ticker sets
+    graph_backed and via; what nobody knows better stays as stored. Order and ideas without
+    beneficiaries are kept: only beneficiaries travel to their keys and come back to their document.
+    """
+    one = (runs.select("run", F.posexplode("rec.ideas").alias("idea", "i"))
+           .select("run", "idea", F.posexplode("i.beneficiaries").alias("pos", "b")).withColumn("name", F.col("b.name")))
+    named = _looked_up(one, resolved.select(F.col("company").alias("name"), F.col("ticker").alias("found")), "name")
+    gapped = _looked_up(named, best.select(F.col("ticker").alias("found"), F.col("gap").alias("new_gap")), "found")
+    backed = _looked_up(gapped.withColumn("ticker", F.nullif(F.coalesce("found", "b.ticker"), F.lit(""))),
+                        reach.select("ticker", F.col("via").alias("new_via")), "ticker")
+    b = (F.col("b").withField("ticker", F.coalesce("found", "b.ticker")).withField("gap", F.coalesce("new_gap", "b.gap"))
+         .withField("via", F.coalesce("new_via", "b.via"))
+         .withField("graph_backed", F.when(F.col("ticker").isNotNull(), F.col("new_via").isNotNull()).otherwise(F.col("b.graph_backed"))))
+    back = backed.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("idea", "pos", b.alias("b")))).alias("told"))
+    ideas = F.transform("rec.ideas", lambda i, k: i.withField(
+        "beneficiaries", F.transform(F.filter("told", lambda x: x["idea"] == k), lambda x: x["b"])))
+    synthesis = F.col("rec").withField("ideas", F.when(F.col("told").isNull(), F.col("rec.ideas")).otherwise(ideas))
+    return runs.join(back, "run", "left").select(
+        F.lit(as_of).cast("date").alias("base_date"), "run", synthesis.alias("synthesis"))

@@ -1,4 +1,4 @@
-"""The runs a user starts: the daily run, the slow lead/lag run, the scoring run.
+"""The runs a user starts: daily, slow lead/lag, inference, report, scoring.
 
 Inputs are DataFrames in the documented shapes; outputs are DataFrames, and ``save_run`` stores them
 by date. Tables that several steps read are staged once in the shared folder.
@@ -11,13 +11,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline import settings as S
+from tideline.operators import chains as Ch
 from tideline.operators import disclosures as D
 from tideline.operators import factors as X
 from tideline.operators import graph as R
 from tideline.operators import groups as G
+from tideline.operators import inference as V
 from tideline.operators import leadlag as L
 from tideline.operators import market as M
 from tideline.operators import names as NM
+from tideline.operators import quotient as Cl
 from tideline.operators import reports as T
 from tideline.operators import scoring as K
 from tideline.operators import signals as sig
@@ -214,6 +218,69 @@ def run_cycle_lags(inputs: Inputs, as_of: str, settings: Settings | None = None)
     return L.cycle_lags(edges, keep("series", series), members, cfg.lags)
 
 
+def run_inference(day: dict[str, DataFrame], analyses: DataFrame, syntheses: DataFrame, as_of: str) -> Run:
+    """Stored analyses against the tables of ``run_daily``: validated, resolved, priced, traced to the graph.
+
+    analyses(ticker, payload) and syntheses(run, payload) hold JSON; a document with a problem is left
+    out whole and its problems are ``rejects_...`` rows, the others stay. ``cases`` are the summaries
+    with ticker, gap and provenance filled in, as ``run_scoring`` reads them once they have aged.
+    """
+    run = new_run(f"{as_of}-inference")
+    keep = lambda name, df: staged(df, run, name)
+    checked = keep("checked_analyses", V.validate_analyses(analyses))
+    summed = keep("checked_syntheses", V.validate_synthesis(syntheses))
+    usable, runs = V.usable(checked), V.usable(summed)
+    named = keep("beneficiaries", V.analysis_beneficiaries(usable).unionByName(V.synthesis_beneficiaries(runs)))
+    master = day["master"]
+    resolved = keep("resolved", NM.resolve(named, master, keep("name_index", NM.name_index(master)), "name"))
+    best = keep("best_gaps", X.best_gap(day["group_gaps"]))
+    reach = keep("reach", R.reach_overall(day["reach"]))
+    priced = keep("priced_in", V.annotate_priced_in(named, resolved, sig.compute_signals(day["panel"]), best))
+    marked = keep("marked", V.with_provenance(priced, reach))
+    return Run({"analyses": usable, "industry_wide": V.industry_wide(usable), "beneficiaries": priced, "provenance": marked,
+                "match_stats": V.match_stats(priced), "provenance_stats": V.provenance_stats(marked),
+                "cases": keep("cases", V.annotated_cases(runs, resolved, best, reach, as_of)),
+                "rejects_analyses": V.problem_rows(checked, "ticker"), "rejects_syntheses": V.problem_rows(summed, "run"),
+                "rejects_unmatched_names": V.unmatched_names(priced)}, checked.sparkSession, run)
+
+
+def run_report(day: dict[str, DataFrame], inference: dict[str, DataFrame], maps: DataFrame, as_of: str,
+               settings: Settings | None = None) -> Run:
+    """The tables behind the reports: flow graph, layers, chains, trades, coverage, indicators.
+
+    ``day`` and ``inference`` are the results of ``run_daily`` and ``run_inference``, ``maps`` those of
+    the daily inputs. Layers and closure read the whole flow but for ``cycle_cuts``.
+    """
+    cfg = (settings or Settings()).graph
+    run = new_run(f"{as_of}-report")
+    keep = lambda name, df: staged(df, run, name)
+    graph, master = day["graph"], day["master"]
+    members = keep("members", R.members(graph))
+    flow, origins = keep("flow", Ch.flow_edges(graph)), keep("origins", Ch.relation_origins(graph))
+    kept_edges, cuts = Ch.break_cycles(flow)
+    kept_edges = keep("acyclic", kept_edges)
+    seeds = origins.select("industry").distinct()
+    towards = lambda rel: origins.where(F.col("rel") == rel).select(
+        F.col("industry").alias("node"), F.col("other").alias("target"), "n_origins")
+    map_names = NM.resolve(maps, master, NM.name_index(master))
+    ideas = inference["cases"].select(F.explode("synthesis.ideas").alias("i"))
+    return Run({
+        "kpis": T.kpi_row(day["candidates"], ideas, day["group_gaps"], graph, inference["provenance"]),
+        "relation_kpis": T.relation_kpis(graph, origins), "industry_rank": T.industry_rank(graph, origins),
+        "top_neighbours": T.top_neighbours(origins), "industry_makes": T.industry_makes(graph),
+        "members_by_cap": T.members_by_cap(members, master, ["industry"], cfg.max_members),
+        "drivers": T.drivers_by_weight(Cl.driver_shares(graph, cfg.min_confidence), cfg.max_drivers),
+        "search_index": T.search_index(graph, origins, master),
+        "trades": keep("trades", T.trades_in_order(T.trade_rollup(graph), master)),
+        "coverage_holes": T.coverage_holes(R.map_rows(maps), map_names, inference["rejects_unmatched_names"]),
+        "flow": flow, "flow_labels": Ch.flow_labels(graph), "orphan_industries": Ch.orphan_industries(members, flow),
+        "cycle_cuts": keep("cycle_cuts", cuts), "layers": keep("layers", Ch.layers(kept_edges)),
+        "downstream": keep("downstream", Ch.closure(kept_edges)),
+        "supply_chains": keep("supply_chains", Ch.chain_levels(seeds, towards(S.REL_UPSTREAM), cfg.chain_caps)),
+        "demand_chains": keep("demand_chains", Ch.chain_levels(seeds, towards(S.REL_DOWNSTREAM), cfg.chain_caps)),
+    }, graph.sparkSession, run)
+
+
 def run_scoring(cases: DataFrame, prices: DataFrame, as_of: str, horizon: int = 10) -> Run:
     """Score aged predictions of case files against later prices(ticker, day, close)."""
     predictions = K.aged_predictions(cases, as_of, K.min_age_days(horizon))

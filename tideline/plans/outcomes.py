@@ -24,7 +24,7 @@ from tideline.plans import inputs as I
 from tideline.plans import relations as Q
 from tideline.plans.registry import query, rounded
 from tideline.plans.screening import SCREEN
-from tideline.plans.shared import kept
+from tideline.plans.shared import kept, kept_files
 from tideline.runtime import spread
 from tideline.sources import records as J
 
@@ -217,23 +217,48 @@ def t11(spark, sf_dir):
     return quota(spark, sf_dir)
 
 
+@kept_files
+def edge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per source of edges, and torn lines (one per error event) in a file of their own."""
+    lines = Q.all_edges(spark, sf_dir).select(F.concat("source", F.lit(".jsonl")).alias("file"),
+                                              F.to_json(F.struct(*sorted(R.EDGE_COLUMNS))).alias("value"))
+    torn = I.table(spark, sf_dir, "events").where("event_type = 'error'").select(
+        F.lit("torn.jsonl").alias("file"), F.concat(F.lit('{"src": '), F.col("props")).alias("value"))
+    return lines.unionByName(torn)
+
+
 @query("s13_edges_jsonl")
 def s13(spark, sf_dir):
-    """Edges through their line format and back, among torn lines (one per error event)."""
-    e = Q.all_edges(spark, sf_dir)
-    lines = e.select(F.to_json(F.struct(*sorted(R.EDGE_COLUMNS))).alias("value"))
-    torn = I.table(spark, sf_dir, "events").where("event_type = 'error'").select(
-        F.concat(F.lit('{"src": '), F.col("props")).alias("value"))
-    return J.parse_edge_lines(lines.unionByName(torn), "value").groupBy("source", "rel").agg(
+    """Edges through their files and back, read by path among torn lines."""
+    return J.read_edges(spark, edge_files(spark, sf_dir)).groupBy("source", "rel").agg(
         F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
 
+@query("s13_edge_rejects")
+def s13_rejects(spark, sf_dir):
+    return J.rejected_edges(spark, edge_files(spark, sf_dir)).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@kept_files
+def case_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case documents as files dated by the first of their month, torn ones among them."""
+    month = F.substring(F.substring_index("file", "/", -1), 1, 6)
+    return case_files(spark, sf_dir).select(F.concat(month, F.lit("01.json")).alias("file"), F.col("content").alias("value"))
+
+
 @query("s14_case_source")
 def s14(spark, sf_dir):
-    c = cases(spark, sf_dir)
+    """Documents of case files, read by path; the date is that of the file name."""
+    c = J.load_cases(spark, case_folder(spark, sf_dir), whole=False)[0]
     return c.groupBy("base_date").agg(F.count("*").alias("n"), F.count("synthesis.market_summary").alias("told"))
 
 
+@query("s14_case_rejects")
+def s14_rejects(spark, sf_dir):
+    rejects = J.load_cases(spark, case_folder(spark, sf_dir), whole=False)[1]
+    return rejects.groupBy("file").agg(F.count("*").alias("n"))
+
+
 @query("f7_age_filter")
 def f7(spark, sf_dir):
     p = predictions(spark, sf_dir)

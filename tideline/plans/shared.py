@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tideline.runtime import shared_folder
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_FILES: dict[tuple[str, str, str], str] = {}
 
 
 def kept(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,9 +35,25 @@ def kept(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return get
 
 
+def kept_files(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], str]:
+    """Writes the lines of ``fn``'s (file, value) once, below a folder per file name; gives the path of all."""
+    @wraps(fn)
+    def get(spark: SparkSession, sf_dir: str) -> str:
+        app = spark.sparkContext.applicationId
+        key = (app, sf_dir, f"{fn.__module__.rsplit('.', 1)[-1]}_{fn.__name__}")
+        if key not in _FILES:
+            path = f"{shared_folder(spark)}/tideline-{app}/files-{len(_FILES)}-{uuid.uuid4().hex}"
+            # rows of a file meet, and a large file is split, by measured sizes
+            fn(spark, sf_dir).select("file", "value").hint("rebalance", "file").write.partitionBy("file").text(path)
+            _FILES[key] = path
+        return _FILES[key]
+    return get
+
+
 def forget() -> None:
     """Build the shared tables anew from here on (fresh inputs, or a timing run)."""
     _WRITTEN.clear()
+    _FILES.clear()
 
 
 def new_run(label: str) -> str:
