@@ -11,8 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from tideline.llm.common import Sink, arrow_rows
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Labelled rows that the weights are learned from, chosen by hash; and opponents of each good row.
 SAMPLE, OPPONENTS, RIDGE = 20_000, 4, 1e-2
@@ -44,18 +43,20 @@ def features(text: str | None) -> list[float]:
 
 
 def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in keep}
-    schema = pa.schema([(c, {"bigint": pa.int64(), "boolean": pa.bool_(), "int": pa.int32()}.get(k, pa.string())) for c, k in kinds.items()] + [("x", pa.list_(pa.float64()))])
+    """(doc, x): the columns to keep as one struct of fields c0, c1, ..., and the features of the text.
+
+    The struct passes through Python as the Arrow column it came as, so types and names don't matter.
+    """
+    doc = F.struct(F.lit(0).alias("at"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep))).alias("doc")
+    rows = docs.select(doc, "text")
+    kinds = StructType([rows.schema["doc"], StructField("x", ArrayType(DoubleType()))])
 
     def run(batches):
-        out = Sink(schema)
-        for *own, text in arrow_rows(batches):
-            out.add(*own, features(text))
-            if out.full:
-                yield out.take()
-        yield out.take()
+        for batch in batches:
+            found = [features(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["doc", "x"])
 
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", x array<double>")
+    return rows.mapInArrow(run, kinds)
 
 
 @dataclass
@@ -104,17 +105,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     some = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
             .select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
     chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows = _featured(chosen, ["quality"]).orderBy(F.xxhash64("x"), "quality").limit(2 * sample).toPandas()
+    rows = _featured(chosen, ["quality"]).select(F.col("doc.c0").alias("quality"), "x").orderBy(F.xxhash64("x"), "quality").limit(2 * sample).toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, FEATURES)
     good = rows["quality"].to_numpy() == 1
     return fit_pairs(x[good], x[~good])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Replaces column text by score (0 to 1) and predicted (1 if score >= 0.5); all rows, whole texts."""
-    keep = [c for c in docs.columns if c != "text"]
+    """Replaces column text by score (0 to 1) and predicted (1 if score >= 0.5); all rows, whole texts.
+
+    Other columns of any type stay as they came; an own column score or predicted gives way to the new
+    one. Null and empty texts get the score of a text without words, equal texts equal scores, repeated
+    rows a row each, and an empty table gives none.
+    """
+    keep = [c for c in docs.columns if c.lower() not in ("text", "score", "predicted")]
     safe = [float(w) for w in model.weights / model.scale]
     shift = float(model.cut + (model.mean / model.scale) @ model.weights)
     raw = F.aggregate(F.zip_with("x", F.array(*map(F.lit, safe)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) - F.lit(shift)
-    out = _featured(docs, keep).withColumn("score", 1 / (1 + F.exp(-raw)))
-    return out.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = _featured(docs, keep).select("doc", (1 / (1 + F.exp(-raw))).alias("score"))
+    return out.select(*(F.col(f"doc.c{i}").alias(c) for i, c in enumerate(keep)), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -10,6 +10,7 @@ from tideline.llm.common import fold, id_key, looked_up, packed, staged, table,
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from labels outside the held-out third; null and empty texts are scored too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
     return quality.score(docs, quality.learn(docs, labels))
