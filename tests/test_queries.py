@@ -14,7 +14,9 @@ SF = Path("/root/testdata/sf0.001")
 PICKED = ("s6_price_panel", "t1_screen_topn", "t1_screen_suppliers", "a1_market_return", "a5_factor_exposure", "a7_group_gap",
           "j4_name_resolution", "g1_map_edges", "u1_edge_union", "j5_vertical_2hop", "w10_best_lag", "a18_quote_stats",
           "c12_slim_section", "c14_parse_contract", "g4_filing_edges", "a13_score_summary", "g6_chain_levels",
-          "g5_reach_overall", "g10_subgraph", "t6_drivers_by_weight", "j8_lagged_self_join", "j3_reindex")
+          "g5_reach_overall", "g10_subgraph", "t6_drivers_by_weight", "j8_lagged_self_join", "j3_reindex",
+          "g8_cycle_break", "g9_layering_after_break", "g7_transitive_closure", "s12_extraction_source", "s12_extraction_rejects",
+          "s13_edge_rejects", "s14_case_source", "s14_case_rejects")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="shared tables not present")
 
 
