@@ -186,9 +186,10 @@ SQL = {
     "t1_screen_topn": _screen("bw", "brand_master"),
     "t1_screen_suppliers": _screen("sm", "sm_master"),
     "t2_universe_by_cap": """
-        SELECT ticker, name, market_cap, CAST(floor(avg_turnover) AS BIGINT) AS avg_turnover
+        SELECT ticker, name, market_cap, CAST(floor(round(avg_turnover, 6)) AS BIGINT) AS avg_turnover
         FROM sm_sig JOIN sm_master USING (ticker)
-        WHERE market_cap >= 1000000000 AND avg_turnover >= 10000""",
+        WHERE market_cap >= 1000000000 AND round(avg_turnover, 6) >= 10000
+        ORDER BY market_cap DESC, ticker""",
     "a1_market_return": f"""
         SELECT p.dt_idx, {r('sum(market_cap * ret) / nullif(sum(market_cap) FILTER (ret IS NOT NULL), 0)', 8)} AS ret
         FROM sm_panel p LEFT JOIN sm_ret q USING (ticker, dt_idx) LEFT JOIN sm_caps USING (ticker)
