@@ -24,7 +24,7 @@ from tideline.plans import inputs as I
 from tideline.plans import relations as Q
 from tideline.plans.registry import query, rounded
 from tideline.plans.screening import SCREEN
-from tideline.plans.shared import kept, kept_files
+from tideline.plans.shared import dealt_by_file, kept, kept_files
 from tideline.runtime import spread
 from tideline.sources import records as J
 
@@ -77,21 +77,33 @@ def _idea(status, priority):
 
 
 @kept
-def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, run, payload, content): a synthesis per order, and the case file that holds it."""
+def case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a synthesis is written from, per order: a few narrow columns instead of its texts."""
     o = spread(I.table(spark, sf_dir, "orders"), "o_orderkey")
     c, n = I.table(spark, sf_dir, "customer"), I.table(spark, sf_dir, "nation")
     s = I.supplier_master(spark, sf_dir).select(F.col("ticker").alias("s_ticker"), F.col("name").alias("s_name"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(
         s, supplier_name(F.col("o_custkey") / 10) == F.col("s_name"), "left")
+    return j.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "n_name", "s_ticker",
+                    F.date_format("o_orderdate", "yyyyMMdd").alias("day"))
+
+
+def written_cases(rows: DataFrame) -> DataFrame:
+    """(file, run, payload, content): a synthesis per order, and the case file that holds it.
+
+    The texts are far wider than the rows: whoever deals rows out does it before they become texts.
+    """
     status, prio = F.col("o_orderstatus"), F.col("o_orderpriority")
     syn = F.struct(F.when(prio != "2-HIGH", "m").alias("market_summary"), F.array(_idea(status, prio)).alias("ideas"))
-    day = F.date_format("o_orderdate", "yyyyMMdd")
-    doc = F.to_json(F.struct(day.alias("base_date"), syn.alias("synthesis")))
+    doc = F.to_json(F.struct(F.col("day").alias("base_date"), syn.alias("synthesis")))
     torn = (status == "P") & (prio == "5-LOW")
-    return j.select(F.col("o_orderkey").alias("run"), F.concat(F.lit("cases/"), day, F.lit(".json")).alias("file"),
-                    F.to_json(syn).alias("payload"),
-                    F.when(torn, F.left(doc, F.length(doc) - 9)).otherwise(doc).alias("content"))
+    return rows.select(F.col("o_orderkey").alias("run"), F.concat(F.lit("cases/"), "day", F.lit(".json")).alias("file"),
+                       F.to_json(syn).alias("payload"),
+                       F.when(torn, F.left(doc, F.length(doc) - 9)).otherwise(doc).alias("content"))
+
+
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_cases(case_rows(spark, sf_dir))
 
 
 @kept
@@ -224,7 +236,7 @@ def edge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               F.to_json(F.struct(*sorted(R.EDGE_COLUMNS))).alias("value"))
     torn = I.table(spark, sf_dir, "events").where("event_type = 'error'").select(
         F.lit("torn.jsonl").alias("file"), F.concat(F.lit('{"src": '), F.col("props")).alias("value"))
-    return lines.unionByName(torn)
+    return dealt_by_file(lines.unionByName(torn))
 
 
 @query("s13_edges_jsonl")
@@ -241,9 +253,10 @@ def s13_rejects(spark, sf_dir):
 
 @kept_files
 def case_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The case documents as files dated by the first of their month, torn ones among them."""
-    month = F.substring(F.substring_index("file", "/", -1), 1, 6)
-    return case_files(spark, sf_dir).select(F.concat(month, F.lit("01.json")).alias("file"), F.col("content").alias("value"))
+    """The case documents in a file per day, torn ones among them."""
+    # a day's rows meet while they are narrow, in the order in which the files are written
+    rows = case_rows(spark, sf_dir).hint("rebalance", "day").sortWithinPartitions("day")
+    return written_cases(rows).select(F.substring_index("file", "/", -1).alias("file"), F.col("content").alias("value"))
 
 
 @query("s14_case_source")
@@ -255,8 +268,10 @@ def s14(spark, sf_dir):
 
 @query("s14_case_rejects")
 def s14_rejects(spark, sf_dir):
+    """Torn documents by month, named like its first day's file."""
     rejects = J.load_cases(spark, case_folder(spark, sf_dir), whole=False)[1]
-    return rejects.groupBy("file").agg(F.count("*").alias("n"))
+    month = F.concat(F.substring("file", 1, 6), F.lit("01.json"))
+    return rejects.groupBy(month.alias("file")).agg(F.count("*").alias("n"))
 
 
 @query("f7_age_filter")
