@@ -217,7 +217,10 @@ SQL = {
                1 + (SELECT count(*) FROM peer_rows p WHERE p.ticker = mem.ticker AND p.industry = mem.industry) AS n_members
         FROM mem JOIN lead USING (ticker)
         UNION ALL SELECT 'member', class_id, ticker, NULL, NULL FROM classes""",
-    "j7_co_exposed": "SELECT * FROM shares",
+    "j7_co_exposed": """
+        SELECT 'share' AS part, *, NULL::VARCHAR AS other, NULL::BIGINT AS sign, NULL::DOUBLE AS weight,
+               NULL::VARCHAR AS other_source FROM shares
+        UNION ALL SELECT 'member', NULL, driver, NULL, NULL, NULL, NULL, NULL, ticker, sign, weight, source FROM exposed""",
     "g10_subgraph": """
         SELECT class_id, 'member' AS part, NULL::VARCHAR AS via, ticker, NULL::BIGINT AS sign, NULL::DOUBLE AS confidence,
                NULL::BIGINT AS n FROM classes
