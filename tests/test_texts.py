@@ -7,6 +7,7 @@ from tideline import settings as S
 from tideline.functions import documents as D
 from tideline.functions.contracts import parse_contract
 from tideline.operators import disclosures as X
+from tideline.operators import graph as R
 from tideline.operators import names as NM
 from tideline.operators import news as W
 
@@ -155,6 +156,22 @@ def test_counterparties_come_from_the_customer_text_only(spark):
     assert {r["token"] for r in unlisted.collect()} == {"Ultium", "Cells"}
 
 
+def test_a_counterparty_text_of_many_items_is_taken_apart_once(spark):
+    m = spark.createDataFrame([("000001", "가나전자", 1), ("000002", "다라전자", 1)], "ticker string, name string, market_cap long")
+    text = "가나전자 12.5%, 다라전자(7%), Ultium"
+    items = spark.createDataFrame([(t, "downstream", i, "x", None, "A", text, "", f"q{t}{i}")
+                                   for t in ("000001", "000002", "000003") for i in (0, 1)], ITEM)
+    alias = spark.createDataFrame(list(S.COUNTERPARTY_ALIASES.items()), "alias string, target string")
+    e, unlisted = X.company_trades(items, m, NM.name_index(m), alias, "1")
+    assert sorted((r["src"], r["dst"], r["weight"], r["evidence"]) for r in R.merge(e).collect()) == [
+        ("T:000001", "T:000002", 0.07, "q0000011"), ("T:000002", "T:000001", 0.125, "q0000021"),
+        ("T:000003", "T:000001", 0.125, "q0000031"), ("T:000003", "T:000002", 0.07, "q0000031")]
+    assert sorted(r["ticker"] for r in unlisted.where("token = 'Ultium'").collect()) == ["000001", "000002", "000003"]
+    for df in (e, unlisted):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")
+        assert len(plan) > 1 and all("Aggregate [text" in p.split("Relation")[0].split("RDD")[0] for p in plan[1:])
+
+
 def test_news_quota_counts_only_what_was_looked_at(spark):
     item = lambda i, title: ("물결", title, "", f"{i:03d}", f"2024-01-{20 - i:02d} 00:00:00")
     rows = [item(1, "물결 수주"), item(2, "물결마을 수주"), item(3, "물결 계약"), item(4, "물결 실적"), item(19, "물결 공시"),
