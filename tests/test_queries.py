@@ -51,5 +51,12 @@ def test_query_equals_sql(spark, duck, name):
     assert canon([tuple(r) for r in df.collect()], df.columns) == canon(rel.fetchall(), cols)
 
 
+def test_what_suppliers_sell_meets_part_once(spark):
+    from tideline.plans import relations, texts
+    for table in (texts.extracted_items, relations.disclosed_edges):
+        read = " ".join(table.__wrapped__(spark, str(SF)).inputFiles())
+        assert "supplier_goods" in read and "part.parquet" not in read and "lineitem" not in read
+
+
 def test_entry_has_rows(spark):
     assert entry_points.entry(spark).count() > 0
