@@ -58,5 +58,12 @@ def test_what_suppliers_sell_meets_part_once(spark):
         assert "supplier_goods" in read and "part.parquet" not in read and "lineitem" not in read
 
 
+def test_texts_of_quotes_are_dealt_out_once(spark):
+    from tideline.plans import texts
+    for table, n in ((texts.checked_quotes, 1), (texts.claimed_quotes, 0)):
+        plan = table.__wrapped__(spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == n
+
+
 def test_entry_has_rows(spark):
     assert entry_points.entry(spark).count() > 0
