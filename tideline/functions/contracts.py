@@ -46,7 +46,10 @@ def clean_value(col: Column) -> Column:
     """First line of a value, cut where another field, a footnote or an open bracket begins."""
     line = F.get(F.split(F.coalesce(col, F.lit("")), "\n"), F.lit(0))
     cuts = [*S.CONTRACT_FIELDS.values(), S.CONTRACT_FOOTNOTE]
-    cut = reduce(lambda s, p: F.regexp_replace(s, f"(?sU)(?:{p}).*", ""), cuts, line)
+    any_cut = "(?U)" + "|".join(f"(?:{p})" for p in cuts)
+    # most lines hold nothing to cut: one search tells
+    cut = bind(line, lambda s: F.when(s.rlike(any_cut), reduce(
+        lambda t, p: F.regexp_replace(t, f"(?sU)(?:{p}).*", ""), cuts, s)).otherwise(s))
     closed = bind(cut, lambda c: F.when(
         F.regexp_count(c, F.lit(r"\(")) > F.regexp_count(c, F.lit(r"\)")),
         F.regexp_extract(c, r"(?s)\A(.*)\(", 1)).otherwise(c))
@@ -58,11 +61,27 @@ def plausible_name(col: Column) -> Column:
     return (F.length(s) >= 2) & ~s.rlike("(?U)" + S.CONTRACT_BOILERPLATE) & s.rlike("[가-힣A-Za-z]{2,}")
 
 
+def _flat(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t\u00a0]{2,}|[\t\u00a0]", " ")
+
+
+def _raw(flat: Column, field: str) -> Column:
+    return strip_ws(F.regexp_extract(flat, rf"(?sU){S.CONTRACT_FIELDS[field]}\s*[:：]?\s*(.{{0,200}})", 1))
+
+
+def _party(raw: Column) -> Column:
+    return bind(clean_value(raw), lambda p: F.when(plausible_name(p), p).otherwise(F.lit("")))
+
+
+def contract_party(text: Column) -> Column:
+    """The counterparty alone, as ``parse_contract`` reads it."""
+    return _party(_raw(_flat(text), "counterparty"))
+
+
 def parse_contract(text: Column) -> Column:
     """STRUCT of typed contract fields; what cannot be read is NULL or ''."""
     def raw_fields(flat: Column) -> Column:
-        return F.struct(*[strip_ws(F.regexp_extract(flat, rf"(?sU){p}\s*[:：]?\s*(.{{0,200}})", 1)).alias(k)
-                          for k, p in S.CONTRACT_FIELDS.items()])
+        return F.struct(*[_raw(flat, k).alias(k) for k in S.CONTRACT_FIELDS])
 
     def or_else(first: Column, other: Column) -> Column:
         return bind(first, lambda d: F.when(d != "", d).otherwise(other))
@@ -70,8 +89,7 @@ def parse_contract(text: Column) -> Column:
     def typed(raw: Column) -> Column:
         spans = F.regexp_extract_all(raw["period"], F.lit("(?U)" + S.CONTRACT_DATE), F.lit(0))
         return F.struct(
-            bind(clean_value(raw["counterparty"]), lambda p: F.when(plausible_name(p), p).otherwise(
-                F.lit(""))).alias("counterparty"),
+            _party(raw["counterparty"]).alias("counterparty"),
             clean_value(raw["product"]).alias("product"),
             first_amount(raw["amount"]).alias("amount"),
             first_amount(raw["recent_sales"]).alias("recent_sales"),
@@ -80,8 +98,7 @@ def parse_contract(text: Column) -> Column:
             or_else(first_date(raw["end"]), F.coalesce(first_date(F.get(spans, F.lit(1))), F.lit(""))).alias("end"),
             clean_value(raw["region"]).alias("region"))
 
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t\u00a0]+", " ")
-    return bind(bind(flat, raw_fields), typed)
+    return bind(bind(_flat(text), raw_fields), typed)
 
 
 def is_contract_filing(report_name: Column) -> Column:

@@ -16,11 +16,13 @@ from pyspark.sql import types as T
 from tideline import settings as S
 
 _WS = r"(?U)\s+"
+#: All that ``\s`` means with (?U): the characters with the property White_Space.
+_BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip_ws(col: Column) -> Column:
-    """Leading and trailing white space of any kind removed."""
-    return F.regexp_replace(col, r"(?U)\A\s+|\s+\z", "")
+    """Leading and trailing white space of any kind removed; only the ends of a text are looked at."""
+    return F.btrim(col, F.lit(_BLANKS))
 
 
 @F.pandas_udf(T.StringType())
