@@ -188,3 +188,10 @@ def test_case_files_are_written_by_day_and_read_back_whole(spark):
     want = {str(r[0]): r[1] for r in good.groupBy(F.to_date("o_orderdate").alias("d")).count().collect()}
     got = {str(r["base_date"]): r["n"] for r in O.s14(spark, sf).collect()}
     assert got == want and any(not day.endswith("-01") for day in got)
+
+
+def test_a_field_of_a_value_that_is_no_object_is_missing(spark):
+    from tideline.operators.inference import _field
+    texts = ['1', '"name"', '[1, {"name": "x"}]', 'null', 'true', '{}', '{"name": null}', '{"name": "x"}', '{"name": 7}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(_field(F.try_parse_json("t"), "name").alias("f")).collect()
+    assert [r["f"] for r in rows] == [None] * 7 + ["x", "7"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline import settings as S
+from tideline.functions.documents import bind
 from tideline.sources.records import ANALYSIS_SCHEMA, SYNTHESIS_SCHEMA
 
 
@@ -28,8 +29,8 @@ def _elements(v: Column, key: str) -> Column:
 
 
 def _field(v: Column, key: str) -> Column:
-    """Text of a field; NULL for a missing one and for a value that is no object."""
-    return F.when(_is_object(v), F.try_variant_get(v, f"$.{key}", "string"))
+    """Text of a field; NULL for a missing one and for a value that is no object, where the path leads nowhere."""
+    return F.try_variant_get(v, f"$.{key}", "string")
 
 
 def _is_object(v: Column) -> Column:
@@ -40,19 +41,16 @@ def _not_in(v: Column, allowed) -> Column:
     return ~F.coalesce(v.isin(*allowed), F.lit(False))
 
 
+def _read_once(payload: Column, read, told) -> Column:
+    """told(read(payload)) with both computed once a row, also where a filter takes the expression over."""
+    return bind(payload, lambda p: bind(read(p), told))
+
+
 def validate_analyses(stored: DataFrame) -> DataFrame:
     """stored(ticker, payload) -> rec, problems. An analysis is usable when it has no problem."""
-    j = stored.withColumn("keys", F.json_object_keys("payload")).withColumn(
-        "rec", F.from_json("payload", ANALYSIS_SCHEMA)).withColumn(
-        "paths", _elements(F.try_parse_json("payload"), "ripple_paths"))
-    keys, rec = F.col("keys"), F.col("rec")
     enums = {"cause_type": S.CAUSE_TYPES, "cause_scope": (S.SCOPE_COMPANY, S.SCOPE_INDUSTRY),
              "confidence": S.CONFIDENCE_LEVELS, "ripple_axis": S.RIPPLE_AXES}
     none = F.array().cast("array<string>")
-    lists = [_missing(keys, S.CAUSE_TYPES_REQUIRED, "필수 항목 ")]
-    for k, allowed in enums.items():
-        lists.append(_one(F.array_contains(keys, k) & _not_in(rec[k], allowed),
-                          F.concat(F.lit(k), _said(rec[k]), F.lit("는 허용값이 아님"))))
 
     def of_beneficiary(b: Column) -> Column:
         return (F.when(F.coalesce(_field(b, "name"), F.lit("")) == "", F.lit("수혜 후보에 name이 없음"))
@@ -65,29 +63,39 @@ def validate_analyses(stored: DataFrame) -> DataFrame:
         told = F.concat(way, F.array_compact(F.transform(_elements(p, "beneficiaries"), of_beneficiary)))
         return F.when(_is_object(p), told).otherwise(F.array(F.lit("ripple_paths 항목이 객체가 아님")))
 
-    lists.append(F.coalesce(F.flatten(F.transform("paths", of_path)), none))
-    lists.append(_one((rec["cause_scope"] == S.SCOPE_COMPANY) & (F.size("paths") > 0),
-                      F.lit("회사고유인데 파급 경로가 있음")))
-    problems = F.when(keys.isNull(), F.array(F.lit("객체가 아님"))).otherwise(F.concat(*lists))
-    return j.select("ticker", "rec", problems.alias("problems"))
+    def told(x: Column) -> Column:
+        keys, rec, paths = x["keys"], x["rec"], x["paths"]
+        lists = [_missing(keys, S.CAUSE_TYPES_REQUIRED, "필수 항목 ")]
+        for k, allowed in enums.items():
+            lists.append(_one(F.array_contains(keys, k) & _not_in(rec[k], allowed),
+                              F.concat(F.lit(k), _said(rec[k]), F.lit("는 허용값이 아님"))))
+        lists.append(F.coalesce(F.flatten(F.transform(paths, of_path)), none))
+        lists.append(_one((rec["cause_scope"] == S.SCOPE_COMPANY) & (F.size(paths) > 0),
+                          F.lit("회사고유인데 파급 경로가 있음")))
+        return F.when(keys.isNull(), F.array(F.lit("객체가 아님"))).otherwise(F.concat(*lists))
+
+    read = lambda p: F.struct(F.json_object_keys(p).alias("keys"), F.from_json(p, ANALYSIS_SCHEMA).alias("rec"),
+                              _elements(F.try_parse_json(p), "ripple_paths").alias("paths"))
+    return stored.select("ticker", F.from_json("payload", ANALYSIS_SCHEMA).alias("rec"),
+                         _read_once(F.col("payload"), read, told).alias("problems"))
 
 
 def validate_synthesis(stored: DataFrame) -> DataFrame:
     """stored(run, payload) -> rec, problems for the summary document of each run."""
-    j = stored.withColumn("keys", F.json_object_keys("payload")).withColumn(
-        "rec", F.from_json("payload", SYNTHESIS_SCHEMA)).withColumn(
-        "ideas", _elements(F.try_parse_json("payload"), "ideas"))
-
     def of_idea(i: Column) -> Column:
         axis = _one(_not_in(_field(i, "axis"), S.IDEA_AXES), F.concat(F.lit("axis"), _said(_field(i, "axis")), F.lit(" 허용값 아님")))
         bad = F.filter(_elements(i, "beneficiaries"), lambda b: _not_in(_field(b, "priced_in"), S.PRICED_IN))
         told = F.transform(bad, lambda b: F.concat(F.lit("priced_in"), _said(_field(b, "priced_in")), F.lit(" 허용값 아님")))
         return F.concat(axis, told)
 
-    lists = F.concat(_missing(F.col("keys"), S.SYNTHESIS_REQUIRED, ""), F.coalesce(
-        F.flatten(F.transform("ideas", of_idea)), F.array().cast("array<string>")))
-    return j.select("run", "rec", F.when(F.col("keys").isNull(), F.array(F.lit("객체가 아님")))
-                    .otherwise(lists).alias("problems"))
+    def told(x: Column) -> Column:
+        lists = F.concat(_missing(x["keys"], S.SYNTHESIS_REQUIRED, ""), F.coalesce(
+            F.flatten(F.transform(x["ideas"], of_idea)), F.array().cast("array<string>")))
+        return F.when(x["keys"].isNull(), F.array(F.lit("객체가 아님"))).otherwise(lists)
+
+    read = lambda p: F.struct(F.json_object_keys(p).alias("keys"), _elements(F.try_parse_json(p), "ideas").alias("ideas"))
+    return stored.select("run", F.from_json("payload", SYNTHESIS_SCHEMA).alias("rec"),
+                         _read_once(F.col("payload"), read, told).alias("problems"))
 
 
 def usable(validated: DataFrame) -> DataFrame:
