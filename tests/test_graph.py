@@ -5,6 +5,7 @@ from tideline import settings as S
 from tideline.operators import chains as Ch
 from tideline.operators import graph as R
 from tideline.operators import names as NM
+from tideline.operators import reports as T
 
 
 def edge(src, dst, rel, source="valuechain", origin="", conf=0.5, asof="1", product="", sign=0, weight=None,
@@ -175,3 +176,29 @@ def test_flow_label_prefers_goods(spark):
     assert Ch.flow_labels(e).first()["label"] == "레미콘 / 벌크시멘트"
     f = Ch.flow_edges(e).first()
     assert (f["supplier"], f["consumer"], f["n_origins"], f["guessed"]) == ("시멘트", "건설", 3, False)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_normalized_after_they_are_made_distinct(spark):
+    """A filter on what was found must not bring the normalization ahead of the distinct, to every row."""
+    names = spark.createDataFrame([("Ａ Corp",), ("A Corp",), ("A Corp",), ("x(000001)",), (None,)], "company string")
+    master = spark.createDataFrame([("000001", "A Corp", 5)], "ticker string, name string, market_cap long")
+    found = NM.resolve(names, master, NM.name_index(master))
+    rows = names.join(found, "company", "left").where("ticker is not null")
+    assert sorted(r["company"] for r in rows.collect()) == ["A Corp", "A Corp", "x(000001)", "Ａ Corp"]
+    asked = [line for line in _plan(found.where("ticker is not null")).split("\n") if "pythonUDF" not in line or "ArrowEvalPython" in line]
+    depth = {kind: [len(line) - len(line.lstrip(" :+-")) for line in asked if line.lstrip(" :+-").startswith(kind)] for kind in ("ArrowEvalPython", "HashAggregate(keys=[company")}
+    assert min(depth["HashAggregate(keys=[company"]) > min(depth["ArrowEvalPython"])
+
+
+def test_trades_are_dealt_out_once_for_merge_and_rollup(spark):
+    rows = [("T:1", "T:2", "a", "one", 0.1), ("T:1", "T:2", "a", "other", None), ("T:1", "T:2", "b", "longer", 0.3), ("T:2", "T:1", "a", "", None)]
+    t = spark.createDataFrame(rows, "s string, d string, o string, p string, w double")
+    e = R.edges(t, src=F.col("s"), dst=F.col("d"), rel=S.REL_DOWNSTREAM, source="dart", origin=F.col("o"), product=F.col("p"), weight=F.col("w"), pos=F.col("p"))
+    want = T.trade_rollup(R.merge(e))
+    got = T.trade_rollup(R.merge(e, columns=(*R.KEY, "product", "weight"), by=("src", "dst")))
+    assert _plan(got).count("Exchange hashpartitioning") == 1 and _plan(got).count("Sort [") == 1 and _plan(want).count("Exchange hashpartitioning") == 2
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("1", "2", "longer", 0.3), ("2", "1", "", None)]

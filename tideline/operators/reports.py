@@ -20,9 +20,10 @@ def trade_rollup(edges: DataFrame) -> DataFrame:
     t = edges.where((N.node_kind(F.col("src")) == "T") & (N.node_kind(F.col("dst")) == "T")
                     & (F.col("rel") == S.REL_DOWNSTREAM))
     text = F.coalesce("product", F.lit(""))
-    return t.groupBy(N.node_value(F.col("src")).alias("seller"), N.node_value(F.col("dst")).alias("buyer")).agg(
+    return t.groupBy("src", "dst").agg(
         F.min_by(text, F.struct((-F.length(text)).alias("k"), text.alias("t"))).alias("product"),
-        F.max("weight").alias("weight"))
+        F.max("weight").alias("weight")).select(
+            N.node_value(F.col("src")).alias("seller"), N.node_value(F.col("dst")).alias("buyer"), "product", "weight")
 
 
 def trades_in_order(rollup: DataFrame, master: DataFrame) -> DataFrame:
