@@ -103,7 +103,14 @@ def written_cases(rows: DataFrame) -> DataFrame:
 
 
 def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written_cases(case_rows(spark, sf_dir))
+    """(file, content) of every case document, by tasks of bounded size.
+
+    Rows are dealt out while they are narrow. The columns are generated ones, since a reader's filter would otherwise
+    write and parse the texts ahead of that shuffle, in as many tasks as the rows' files split into, and again after it.
+    """
+    rows = case_rows(spark, sf_dir)
+    dealt = written_cases(spread(rows, "o_orderkey", rows=rows.count()))
+    return dealt.select(F.inline(F.array(F.struct("file", "content"))))
 
 
 @kept
