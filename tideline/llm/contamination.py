@@ -6,11 +6,14 @@ ratio two; for each class, documents are cut into half-overlapping windows of tw
 largest size. Any run of that many shingles lies within one window, where containment 0.8 means a
 Jaccard similarity of 0.19 at least. An item is a candidate where one of HASHES minima agrees
 (missed with probability 0.81 ** 64 = 1.4e-6), and is then verified by exact shingle containment.
+A document with fewer of the items' shingles than the smallest item of a class needs can hold none of
+that class, so its windows are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,9 +37,7 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < n:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
-    own: dict[bytes, int] = {}
-    one = xxhash.xxh64_intdigest
-    ids = np.fromiter((own[w] if w in own else own.setdefault(w, one(w)) for w in words), np.uint64, len(words))
+    ids = pd.util.hash_array(np.array(words, object), categorize=False)
     out = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
         out = (out ^ ids[k:k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
@@ -86,34 +87,25 @@ def _index_items(batches):
     yield out.take()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Test items inside documents: id_key, text_key, doc_id, item_id, shared, item_shingles, containment.
+FOUND = pa.schema([("id_key", pa.string()), ("text_key", pa.int64()), ("doc_id", pa.int64()), ("hits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
-    Containment is the share of an item's distinct five-word shingles that the document has, over
-    ASCII-lowered words. An item of fewer words is one shingle, its whole sequence, and so is a
-    document. Null and empty texts match nothing. One row per distinct (doc_id, text) and distinct
-    (item_id, text); repeated rows add none. Null ids are kept. Empty tables give an empty result.
-    """
-    items = items.select("item_id", "text").distinct().withColumn("item", F.xxhash64(id_key(F.col("item_id")), text_key(F.col("text"))))
-    indexed = staged(items.select("item", F.col("text").cast("binary").alias("text"))
-                     .mapInArrow(_index_items, "item long, cls int, n long, parts array<long>, bands array<long>"), "items")
-    item_parts = indexed.select("item", "n", F.explode("parts").alias("key"))
-    item_bands = indexed.select("item", F.explode("bands").alias("key"))
-    classes = sorted(r[0] for r in indexed.select("cls").distinct().collect())
-    shared = docs.sparkSession.sparkContext.broadcast((classes, _filter(item_parts), _filter(item_bands)))
-    schema = pa.schema([("id_key", pa.string()), ("text_key", pa.int64()), ("doc_id", pa.int64()), ("hits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
-    def search(batches):
+def _search(shared):
+    """Documents that share a minimum with some item: all their shingles that items may have, and the minima met."""
+    def run(batches):
         classes, parts_bits, bands_bits = shared.value
         known, known_bands = np.unpackbits(parts_bits).view(bool), np.unpackbits(bands_bits).view(bool)
-        out = Sink(schema, 2_000)
+        out = Sink(FOUND, 2_000)
         for key, text_key_, doc_id, text in arrow_rows(batches):
             parts = shingles(lowered_words(text))
             at = np.flatnonzero(known[_bits(parts)])
             if not len(at):
                 continue
+            hits = np.unique(parts[at])
             bands: set[int] = set()
-            for cls in classes:
+            for cls, needed in classes:
+                if len(hits) < needed:
+                    continue
                 step = 1 << cls
                 # a window's minimum can equal an item's only if that shingle is in the window: others are not looked at
                 for w in np.unique(np.concatenate([at // step, np.maximum(at // step - 1, 0)])):
@@ -123,13 +115,31 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                         if known_bands[(band & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)]:
                             bands.add(band)
             if bands:
-                out.add(key, text_key_, doc_id, np.unique(parts[at]).view(np.int64).tolist(), sorted(bands))
+                out.add(key, text_key_, doc_id, hits.view(np.int64).tolist(), sorted(bands))
             if out.full:
                 yield out.take()
         yield out.take()
 
+    return run
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Test items inside documents: id_key, text_key, doc_id, item_id, shared, item_shingles, containment.
+
+    Containment is the share of an item's distinct five-word shingles that the document has, over
+    ASCII-lowered words. An item of fewer words is one shingle, its whole sequence, and so is a
+    document. Null and empty texts match nothing. One row per distinct (doc_id, text) and distinct
+    (item_id, text); repeated rows add none. Null ids are kept. Empty tables give an empty result.
+    """
+    items = items.select("item_id", "text").distinct().withColumn("item", F.xxhash64(id_key(F.col("item_id")), text_key(F.col("text"))))
+    indexed = staged(items.select("item", F.col("text").cast("binary").alias("text"))
+                     .mapInArrow(_index_items, "item long, cls int, n long, parts array<long>, bands array<long>"), "items")
+    item_parts = indexed.select("item", "n", F.explode("parts").alias("key"))
+    item_bands = indexed.select("item", F.explode("bands").alias("key"))
+    classes = sorted((r["cls"], threshold * r["n"] - 1e-9) for r in indexed.groupBy("cls").agg(F.min("n").alias("n")).collect())
+    shared = docs.sparkSession.sparkContext.broadcast((classes, _filter(item_parts), _filter(item_bands)))
     rows = docs.select(id_key(F.col("doc_id")).alias("id_key"), text_key(F.col("text")).alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = staged(rows.mapInArrow(search, "id_key string, text_key long, doc_id long, hits array<long>, bands array<long>"), "found")
+    found = staged(rows.mapInArrow(_search(shared), "id_key string, text_key long, doc_id long, hits array<long>, bands array<long>"), "found")
     own = ["id_key", "text_key", "doc_id"]
     candidates = found.select(*own, F.explode("bands").alias("key")).join(item_bands, "key").select("id_key", "text_key", "item").distinct()
     hits = found.select(*own, F.explode("hits").alias("key")).join(item_parts, "key")
